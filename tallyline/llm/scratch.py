@@ -1,0 +1,49 @@
+"""Durable intermediate tables.
+
+Every table that an iterative operator reads more than once is written to the
+folder that the cluster names in ``spark.checkpoint.dir``, so that a lost
+executor costs a re-read and never a recomputation from lost local blocks.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared folder of the session; a fresh local one only where none is set (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = "file://" + tempfile.mkdtemp(prefix="tallyline-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+class Scratch:
+    """Parquet tables under one folder of their own in the shared folder."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{folder(spark)}/tallyline-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` and return it reread, with its lineage cut."""
+        self.n += 1
+        path = f"{self.root}/{self.n:04d}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch_path = path
+        return out
+
+    def drop(self, *frames: DataFrame | None) -> None:
+        """Delete tables that no later step reads."""
+        for df in frames:
+            path = getattr(df, "_scratch_path", None)
+            if path:
+                jvm = self.spark._jvm
+                target = jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
