@@ -154,20 +154,35 @@ def decide(sizes: DataFrame, goals: DataFrame, block: int, seed: int, scratch: S
     return units.join(ups, same).select("source", "id", (F.col("whole") + F.col("up").cast("int")).alias("copies"))
 
 
-def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, block: int = 32, seed: int = 20, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """``df`` with ``size``, ``source_size``, ``target`` (its source's), ``copies`` and ``taken`` (copies times size)."""
+def _decided(df: DataFrame, names: tuple[str, str, str, str], weights: tuple[float, ...], budget: float, cap: float, block: int, seed: int, text: str, source: str, doc_id: str) -> DataFrame:
+    """``df`` with four more columns: size, source_size, target and copies under the given names."""
     scratch = Scratch(df.sparkSession)
     sizes = scratch.keep(df.select(F.col(source).alias("source"), F.col(doc_id).cast("long").alias("id"), word_count(F.col(text)).alias("size")))
     goals = scratch.keep(targets(sizes, weights, budget, cap))
     copies = decide(sizes, goals, block, seed, scratch)
-    s, i, n = fresh(df, "s"), fresh(df, "i"), fresh(df, "n")
-    goals = goals.withColumnRenamed("source", s)
-    copies = copies.select(F.col("source").alias(i + "s"), F.col("id").alias(i), F.col("copies").alias(n))
-    keep = [c for c in df.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    size, source_size, target, n = names
+    s, i, of = fresh(df, "s"), fresh(df, "i"), fresh(df, "of")
+    goals = goals.select(F.col("source").alias(s), F.col("source_size").alias(source_size), F.col("target").alias(target))
+    copies = copies.select(F.col("source").alias(of), F.col("id").alias(i), F.col("copies").alias(n))
     return (
-        df.withColumn("size", word_count(F.col(text)))
-        .join(goals.select(F.col(s), F.col("source_size").alias(s + "n"), F.col("target").alias(s + "t")), F.col(source).eqNullSafe(F.col(s)), "left")
-        .join(copies, F.col(source).eqNullSafe(F.col(i + "s")) & F.col(doc_id).cast("long").eqNullSafe(F.col(i)), "left")
-        .withColumn(n, F.when(F.col("size") > 0, F.coalesce(F.col(n), F.lit(0))).otherwise(F.lit(0)))
-        .select(*keep, F.col("size"), F.col(s + "n").alias("source_size"), F.col(s + "t").alias("target"), F.col(n).alias("copies"), (F.col(n) * F.col("size")).cast("long").alias("taken"))
+        df.withColumn(size, word_count(F.col(text)))
+        .join(goals, F.col(source).eqNullSafe(F.col(s)), "left")
+        .join(copies, F.col(source).eqNullSafe(F.col(of)) & F.col(doc_id).cast("long").eqNullSafe(F.col(i)), "left")
+        .withColumn(n, F.when(F.col(size) > 0, F.coalesce(F.col(n), F.lit(0))).otherwise(F.lit(0)))
+        .select(*df.columns, *names)
     )
+
+
+def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, block: int = 32, seed: int = 20, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """``df`` with ``size``, ``source_size``, ``target`` (its source's), ``copies`` and ``taken`` (copies times size), which replace columns of these names."""
+    own = ("size", "source_size", "target", "copies")
+    df = df.drop(*own, "taken")
+    return _decided(df, own, weights, budget, cap, block, seed, text, source, doc_id).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
+
+
+def repeat(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, block: int = 32, seed: int = 20, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """The mix itself: each row of ``df`` as many times as it has copies."""
+    names = tuple(fresh(df, n) for n in ("size", "source_size", "target", "copies"))
+    decided = _decided(df, names, weights, budget, cap, block, seed, text, source, doc_id)
+    times = fresh(df, "times")
+    return decided.withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(names[3])))).select(*df.columns)
