@@ -1,8 +1,61 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: toxic texts go, near copies go, leaked benchmark texts go, sources are mixed, the rest is sharded.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame of whole rows;
+all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyline.llm import decontam, mixing, neardup, sharding, toxicity
+from tallyline.llm.scratch import Scratch
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"))
+
+
+def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five-word shingles and a similarity of 0.8."""
+    return neardup.keep_one(docs, k=5, percent=80)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.drop_leaking(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.repeat(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", keep_one_of_copies),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+
+#: A trained classifier decides the first stage, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's rows are written to the shared folder and reread."""
+    scratch = Scratch(spark)
+    docs = _table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        before, docs = docs, stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = scratch.keep(docs)
+            scratch.drop(before)
+    return docs
