@@ -22,13 +22,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 K = 3
 DRIFT = 2
 #: Share of a template's words that a span has to have in place.
 LEAST = 0.75
 
+#: The 66 ASCII characters that are no letter or digit, one by one: a class of single characters is a table look-up in Java's
+#: regular expressions, where a class of ranges is a chain of tests.
+_OTHERS = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
+NOT_WORD, WORD = f"[{_OTHERS}]+", f"[^{_OTHERS}]+"
+
 # fixed values
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 TEMPLATES = (
     ("mit", "released under the mit license"),
@@ -132,8 +138,10 @@ def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame
     """One row per row of ``df``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     texts = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     of_phrase = lambda c: F.when(F.col("phrase"), c)
+    # few rows, read by both kinds of passages
+    found = Scratch(df.sparkSession).keep(hits(texts))
     labelled = (
-        passages(hits(texts))
+        passages(found)
         .groupBy("doc_id", "hash")
         .agg(
             F.count(of_phrase(F.lit(1))).alias("n_base"),
@@ -145,7 +153,7 @@ def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame
         )
         .withColumnsRenamed({"doc_id": "d", "hash": "h"})
     )
-    n_words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+    n_words = F.regexp_count("text", F.lit(WORD)).cast("long")
     return (
         texts.select("doc_id", "hash", n_words.alias("n_words"))
         .join(labelled, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left")
