@@ -43,9 +43,9 @@ PREFIXES = (0, 4, 5, 7)  # bytes; 0: the whole word
 TABLE_BITS = 18
 WIDTH, FILTERS, SPANS, DEEP = 12, 8, (1, 2, 3), 3
 FOLDS = 5
-MOST_ROWS, MOST_BYTES = 3000, 1 << 15
+MOST_ROWS, MOST_BYTES = 2000, 1 << 15
 STEPS, BATCH = 240, 64
-SCORED_WORDS = 1 << 18
+SCORED_WORDS = 1 << 16
 
 # fixed values: frequent function words
 FUNCTION_WORDS = {
@@ -83,26 +83,19 @@ def buckets(words: tk.Words) -> np.ndarray:
 
 
 def _function_hashes() -> tuple[np.ndarray, np.ndarray]:
-    hashes, langs = [], []
-    for i, lang in enumerate(FUNCTION_WORDS):
-        line = pa.array([FUNCTION_WORDS[lang]])
-        found = tk.Words(*tk.texts(line), tk.byte_class("alnum"), fold_latin=True).hash
-        hashes.append(found)
-        langs.append(np.full(len(found), i))
-    hashes, langs = np.concatenate(hashes), np.concatenate(langs)
-    order = np.argsort(hashes, kind="stable")
-    return hashes[order], langs[order]
+    """Sorted hashes of all function words, and (words, languages) whether a language has the word."""
+    found = [tk.Words(*tk.texts(pa.array([line])), tk.byte_class("alnum"), fold_latin=True).hash for line in FUNCTION_WORDS.values()]
+    known = np.unique(np.concatenate(found))
+    return known, np.stack([np.isin(known, h) for h in found], axis=1).astype(float)
 
 
 def languages(words: tk.Words) -> np.ndarray:
     """Index in LANGUAGES of every text: the most function words, the first of equals, ``other`` without any."""
-    known, langs = _function_hashes()
+    known, of = _function_hashes()
+    place = np.minimum(np.searchsorted(known, words.hash), len(known) - 1)
+    at = np.flatnonzero(known[place] == words.hash)
     n = len(FUNCTION_WORDS)
-    left, right = np.searchsorted(known, words.hash, "left"), np.searchsorted(known, words.hash, "right")
-    counts = np.zeros((words.n_docs, n))
-    for j in range(n):  # a word of several languages counts for each
-        at = np.flatnonzero(right - left > j)
-        np.add.at(counts, (words.doc[at], langs[left[at] + j]), 1)
+    counts = np.stack([np.bincount(words.doc[at], of[place[at], i], words.n_docs) for i in range(n)], axis=1)
     return np.where(counts.max(1, initial=0) > 0, counts.argmax(1), n)
 
 
@@ -117,16 +110,33 @@ def _activations(model: Model, x: np.ndarray, last: np.ndarray) -> np.ndarray:
     """(words, all filters) after ReLU; a filter that would run past its text's end is 0 there. ``last``: words left in the text."""
     n = len(x)
     out = np.zeros((n, len(SPANS) * FILTERS), np.float32)
-    for s, (span, kernel) in enumerate(zip(SPANS, model.kernels, strict=True)):
+    # all taps of all filters in one product, then summed along each filter
+    taps = x @ np.concatenate([tap for kernel in model.kernels for tap in kernel], axis=1)
+    at = 0
+    for s, span in enumerate(SPANS):
         part = out[:, s * FILTERS : (s + 1) * FILTERS]
-        if n < span:
-            continue
-        part[: n - span + 1] = x[: n - span + 1] @ kernel[0]
-        for j in range(1, span):
-            part[: n - span + 1] += x[j : n - span + 1 + j] @ kernel[j]
+        for j in range(min(span, n)):
+            part[: n - j] += taps[j:, at + j * FILTERS : at + (j + 1) * FILTERS]
+        at += span * FILTERS
         part += model.bias[s * FILTERS : (s + 1) * FILTERS]
         np.maximum(part, 0, out=part)
-        part[last < span] = 0
+        if span > 1:
+            part[last < span] = 0
+    return out
+
+
+def _summary(acts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """What ``_pool`` gives as features, for scoring, which needs no places."""
+    starts = first[:-1]
+    n = acts.shape[1]
+    out = np.zeros((len(starts), (DEEP + 1) * n), np.float32)
+    for d, (start, end) in enumerate(zip(starts.tolist(), first[1:].tolist(), strict=True)):
+        own = acts[start:end]
+        if end - start > DEEP:
+            own = np.partition(own, end - start - DEEP, axis=0)[end - start - DEEP :]
+        top = -np.sort(-own, axis=0)
+        out[d, : top.size] = top.reshape(-1)
+    out[:, DEEP * n :] = np.add.reduceat(acts, starts, axis=0) / np.diff(first)[:, None] * MEAN_SCALE
     return out
 
 
@@ -157,7 +167,7 @@ MEAN_SCALE = 20.0
 
 
 def _forward(model: Model, rows: np.ndarray, first: np.ndarray):
-    """Logits of texts that all have words, and what the backward step needs."""
+    """Logits of a minibatch of texts that all have words, and what the backward step needs."""
     x = _embed(model.table, rows)
     sizes = np.diff(first)
     last = np.repeat(first[1:], sizes) - np.arange(len(x))
@@ -180,7 +190,8 @@ def logits(model: Model, words: tk.Words) -> np.ndarray:
         docs = have[i:j]
         start, end = words.first[docs[0]], words.first[docs[-1] + 1]
         first = np.append(words.first[docs], end) - start
-        out[docs] = _forward(model, rows[:, start:end], first)[0]
+        acts = _activations(model, _embed(model.table, rows[:, start:end]), np.repeat(first[1:], np.diff(first)) - np.arange(end - start))
+        out[docs] = _summary(acts, first) @ model.out + model.shift
         i = j
     return out
 
@@ -211,10 +222,14 @@ def _odds(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 
 def fit(texts: pa.Array, labels: np.ndarray, folds: np.ndarray, seed: int = 7) -> Model:
     """The model of labelled texts; rows of fold 1 calibrate the thresholds."""
-    words = tk.Words(*tk.texts(texts), tk.byte_class("alnum"), fold_latin=True)
-    every = buckets(words)
-    rows = [every[:, words.first[d] : words.first[d + 1]] for d in range(words.n_docs)]
-    sizes = np.diff(words.first)
+    rows, lang = [], []
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    for _, _, data, bounds in tk.chunks(batch):  # a few MB at a time: the arrays of a chunk are many times its text
+        words = tk.Words(data, bounds, tk.byte_class("alnum"), fold_latin=True)
+        found = buckets(words)
+        rows += [found[:, words.first[d] : words.first[d + 1]].copy() for d in range(words.n_docs)]
+        lang.append(languages(words))
+    sizes = np.array([r.shape[1] for r in rows], np.int64)
     rng = np.random.default_rng(seed)
     train = [np.flatnonzero((labels == y) & (folds != 1) & (sizes > 0)) for y in (0, 1)]
     n_filters = len(SPANS) * FILTERS
@@ -266,7 +281,7 @@ def fit(texts: pa.Array, labels: np.ndarray, folds: np.ndarray, seed: int = 7) -
             np.add.at(grad, inverse, g)
             squares[touched] += (grad * grad).mean(1)
             model.table[touched] -= 0.01 * grad / np.sqrt(squares[touched])[:, None]
-    _calibrate(model, words, labels, folds)
+    _calibrate(model, rows, np.concatenate(lang), labels, folds)
     return model
 
 
@@ -280,14 +295,19 @@ def _best_threshold(z: np.ndarray, y: np.ndarray) -> float:
     return float(z[0] - 0.5 if k == 0 else z[-1] + 0.5 if k == len(z) else (z[k - 1] + z[k]) / 2)
 
 
-def _calibrate(model: Model, words: tk.Words, labels: np.ndarray, folds: np.ndarray, least: int = 10) -> None:
-    z, lang = logits(model, words), languages(words)
+def _calibrate(model: Model, rows: list[np.ndarray], lang: np.ndarray, labels: np.ndarray, folds: np.ndarray, least: int = 10) -> None:
     held = folds == 1
     enough = lambda at: min(np.bincount(labels[at], minlength=2)) >= least
     base = held if enough(held) else np.ones(len(labels), bool)
+    z = np.full(len(rows), model.shift)
+    for d in np.flatnonzero(base):
+        n = rows[d].shape[1]
+        if n:
+            acts = _activations(model, _embed(model.table, rows[d]), np.arange(n, 0, -1))
+            z[d] = (_summary(acts, np.array([0, n])) @ model.out + model.shift)[0]
     model.thresholds[:] = _best_threshold(z[base], labels[base])
     for i in range(len(LANGUAGES)):
-        if enough(at := held & (lang == i)):
+        if enough(at := base & held & (lang == i)):
             model.thresholds[i] = _best_threshold(z[at], labels[at])
 
 
