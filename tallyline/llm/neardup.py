@@ -10,9 +10,14 @@ class, represented by its smallest id, before anything is paired.
 Classes that agree in a band share a bucket. A bucket with n classes gives
 n - 1 candidate pairs, all with one centre; pairs are confirmed on full sets.
 A bucket whose classes then lie in one component holds no further news. In any
-other bucket a chain may be missed, so later rounds draw more centres there,
-eight times as many each round, until a bucket's classes are one component or
-every one of them has been a centre: no cap, and nothing is dropped.
+other bucket a link between two members that both miss the centre could be
+lost, so its members meet in tiles: blocks of bounded total set size, the
+intersections of all sets of two blocks as one matrix product, and as output
+only a spanning star of each tile's confirmed links, never a row per pair.
+There is no cap, and nothing is dropped.
+
+The number of rows in a band follows from the threshold: as many as keep the
+chance to miss a pair exactly at it below MISS.
 
 Defined results: a document without words has an empty set and is kept on its
 own; fewer words than a shingle make one shingle of the whole sequence; a null
@@ -32,9 +37,20 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .components import components
+from .embeddings import local_components
 from .scratch import Scratch
 
 MOST_ATTEMPTS = 1 << 14
+BANDS, MISS = 40, 1e-5
+#: Shingles of a block, and columns of a product; both bound a tile's memory.
+BLOCK, COLUMNS = 100_000, 4096
+
+
+def rows_of_band(percent: int, bands: int = BANDS) -> int:
+    rows = 1
+    while (1 - (percent / 100) ** (rows + 1)) ** bands <= MISS:
+        rows += 1
+    return rows
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,10 +183,73 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def tile_links(sets: list[np.ndarray], sides: np.ndarray, component: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of one tile whose sets reach the threshold and whose components differ.
+
+    ``sides``: 0 and 1 for the two blocks of a tile, all 2 where a block meets itself.
+    """
+    size = np.array([len(x) for x in sets])
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    shared = count[token] > 1  # a token of one set adds to no intersection
+    column = np.cumsum(count > 1) - 1
+    token, owner = column[token[shared]], owner[shared]
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    left = np.flatnonzero(sides != 1)
+    right = left if sides[0] == 2 else np.flatnonzero(sides == 1)
+    common = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(token[-1]) + 1 if len(token) else 0, COLUMNS):
+        a, b = np.searchsorted(token, [start, start + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[a:b], token[a:b] - start] = 1
+        common += part[left] @ part[right].T
+    i, j = np.nonzero(100 * common >= percent * (size[left][:, None] + size[right][None] - common))
+    a, b = left[i], right[j]
+    new = component[a] != component[b]
+    return a[new], b[new]
+
+
+def _tile_function(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids, sides, component = (group[c].to_numpy() for c in ("id", "side", "component"))
+        column = group["shingles"].combine_chunks() if isinstance(group["shingles"], pa.ChunkedArray) else group["shingles"]
+        offsets, flat = np.asarray(column.offsets), np.asarray(column.values)
+        sets = [flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        sides_ok = len(np.unique(sides)) == (1 if sides[0] == 2 else 2)
+        u = v = np.zeros(0, np.int64)
+        if len(sets) > 1 and sides_ok:
+            a, b = tile_links(sets, sides, component, percent)
+            order = np.argsort(ids, kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(ids))
+            label = ids[order][local_components(len(ids), rank[a], rank[b])][rank]
+            u, v = ids[label != ids], label[label != ids]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
+def _tiled(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members (key, id, n, component) of open buckets with their sets, once for every tile of their bucket."""
+    blocks = open_.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = open_.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    return (
+        dealt.join(sets.withColumnRenamed("doc_id", "id"), "id")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("i", F.least("block", "other"))
+        .withColumn("j", F.greatest("block", "other"))
+        .withColumn("side", F.when(F.col("i") == F.col("j"), 2).otherwise((F.col("block") == F.col("j")).cast("int")))
+        .select("key", "i", "j", "id", "side", "component", "shingles")
+    )
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept (it is the smallest id of its component)."""
     scratch = Scratch(docs.sparkSession)
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = rows_of_band(percent, bands)
     sig = scratch.keep(docs.mapInArrow(_signature_batches(k, bands, rows), "doc_id long, n long, d1 long, d2 long, bands array<long>"))
     classes = scratch.keep(sig.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")))
     reps = sig.filter("n > 0").join(classes.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "n", "doc_id"], "left_semi")
@@ -178,39 +257,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     centres = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = scratch.keep(keyed.join(centres, "key"))
     sets = scratch.keep(docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_set_batches(k), "doc_id long, shingles array<long>"))
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        """No set can reach the threshold against one that is too much larger."""
-        return pairs.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b").distinct()
-
-    first = sized(members.filter("id != centre.id").select(F.col("id").alias("a"), F.col("centre.id").alias("b"), "n", F.col("centre.n").alias("m")))
-    labels = components(_confirm(first, sets, percent), scratch)
-    open_ = members.filter("members > 2").select("key", "id", "n", "members", (F.col("id") == F.col("centre.id")).alias("used"))
-    round_ = 0
-    while True:
-        round_ += 1
-        labelled = open_.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        # a bucket is open while it has two components and two members that have not met
-        news = (
-            labelled.groupBy("key")
-            .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count_if(~F.col("used")).alias("unused"))
-            .filter("lo != hi and unused > 1")
-            .select("key", "unused")
-        )
-        draw = F.pmod(F.xxhash64("id", "key", F.lit(round_)), F.lit(1_000_003)) / 1_000_003
-        left = scratch.keep(
-            labelled.filter("not used")
-            .join(news, "key")
-            .withColumn("now", draw < F.lit(8.0**round_) / F.col("unused"))
-            .select("key", "id", "n", "members", "component", "now")
-        )
-        if left.isEmpty():
-            break
-        other = left.filter("now").select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("component_b"))
-        pairs = left.withColumnRenamed("id", "a").join(other, "key").filter("component != component_b and (a < b or not now)")
-        found = _confirm(sized(pairs), sets, percent)
-        labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(found), scratch)
-        open_ = left.select("key", "id", "n", "members", F.col("now").alias("used"))
+    # no set can reach the threshold against one that is too much larger
+    sized = members.filter((F.col("id") != F.col("centre.id")) & (100 * F.least("n", "centre.n") >= percent * F.greatest("n", "centre.n")))
+    pairs = sized.select(F.col("id").alias("a"), F.col("centre.id").alias("b")).distinct()
+    labels = components(_confirm(pairs, sets, percent), scratch)
+    labelled = members.filter("members > 2").select("key", "id", "n").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    labelled = labelled.withColumn("component", F.coalesce("component", "id"))
+    news = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
+    open_ = scratch.keep(labelled.join(news, "key", "left_semi"))
+    found = _tiled(open_, sets).groupBy("key", "i", "j").applyInArrow(_tile_function(percent), "u long, v long")
+    labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(found), scratch)
     joined = (
         sig.select("doc_id", "n", "d1", "d2")
         .join(classes, ["d1", "d2", "n"], "left")
