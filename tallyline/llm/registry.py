@@ -30,7 +30,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = urlfilter.with_fetch_date(_table(spark, sf_dir, "pages").select("page_id", "url"))
-    return urlfilter.judge(pages, urlfilter.entry_table(spark))
+    judged = urlfilter.judge(pages, urlfilter.entry_table(spark))
+    return judged.withColumns({c: F.col(c).cast("string") for c in ("fetched_on", "valid_from")})
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,6 +123,6 @@ ranked AS (
   FROM captures c JOIN valid v
     ON (c.host = v.domain OR ends_with(c.host, '.' || v.domain))
    AND v.dated <= c.fetched_on AND (v.valid_until IS NULL OR c.fetched_on < v.valid_until))
-SELECT c.page_id, c.host, CAST(c.fetched_on AS DATE) AS fetched_on, coalesce(r.verdict, 'none') AS verdict, r.list, r.domain, r.valid_from
+SELECT c.page_id, c.host, CAST(c.fetched_on AS VARCHAR) AS fetched_on, coalesce(r.verdict, 'none') AS verdict, r.list, r.domain, CAST(r.valid_from AS VARCHAR) AS valid_from
 FROM captures c LEFT JOIN ranked r ON r.page_id = c.page_id AND r.place = 1
 """
