@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyline.functions import geometry as g
-from tallyline.operators import dedup, digests, graph, joins, layout, reconcile, splits, windows
+from tallyline.operators import dedup, digests, evaluate, evidence, graph, joins, layout, reconcile, splits, windows
 from tallyline.sources import files, tsv
 from tallyline.streaming import flows
 
@@ -239,3 +239,43 @@ def test_fuse(spark):
     more = page.select("page", F.lit("12.50").alias("text"), box(0, 0, 11, 10).alias("box"), F.lit(0.8).alias("confidence")).union(page.select("page", F.lit("105"), box(20, 0, 30, 10), F.lit(0.5)))
     got = {r.ordinal: r.text for r in joins.fuse_words(primary, more, ["page"]).collect()}
     assert got == {0: "12.50", 1: "105"}
+
+
+def test_reading_order(spark):
+    df = spark.createDataFrame([(0, [(0.0, "abc"), (10.0, "12"), (20.0, "def")]), (1, [(0.0, "ג"), (10.0, "ב"), (20.0, "abc"), (30.0, "x"), (40.0, "שלום")])], "i int, w array<struct<x:double,text:string>>")
+    got = {r.i: r.o for r in df.select("i", evidence.reading_order(F.col("w")).alias("o")).collect()}
+    assert got == {0: "abc 12 def", 1: "שלום abc x ב ג"}
+
+
+def test_column_clusters():
+    rows = [[(0, 10, "a"), (50, 70, "b")], [(1, 9, "c"), (52, 68, "d"), (90, 99, "e")], [(49, 71, "f")]]
+    assert evidence.column_clusters(rows, 100.0) == [[0, 1], [0, 1, 2], [1]]
+    # two cells of one row never share a column
+    assert evidence.column_clusters([[(0, 10, "a"), (1, 11, "b")]], 100.0) == [[0, 1]]
+
+
+@pytest.mark.parametrize(
+    "shorts, years, want",
+    [
+        ([(25, [5])], [2025], {25: 2025}),
+        ([(25, [5])], [2024, 2026], {25: 2025}),
+        ([(25, [5])], [2024], None),
+        ([(25, [12]), (26, [1])], [2026], {25: 2025, 26: 2026}),
+        ([(25, [9]), (26, [1])], [2026], None),
+        ([(25, [5])], [1925, 2025], None),
+        ([], [2025], None),
+    ],
+)
+def test_resolved_years(spark, shorts, years, want):
+    df = spark.createDataFrame([(shorts, years)], "s array<struct<suffix:int,months:array<int>>>, y array<int>")
+    assert df.select(evidence.resolved_years(F.col("s"), F.col("y"))).first()[0] == want
+
+
+def test_drift_and_agreement(spark):
+    now = spark.createDataFrame([("a", 1, 10.0), ("b", 2, 10.0), ("d", 1, 12.5)], "k string, n int, s double")
+    base = spark.createDataFrame([("a", 1, 10.0), ("b", 3, 10.0), ("c", 1, 1.0), ("d", 1, 10.0)], "k string, n int, s double")
+    got = {r.k: r.reasons for r in digests.drift(now, base, ["k"], ["n", "s"], {"s": 0.2}).collect()}
+    assert got == {"a": "", "b": "n_changed", "c": "missing", "d": "s_changed"}
+    slots = lambda rows: spark.createDataFrame(rows, "row int, role string, value string")
+    rate = evaluate.agreement(slots([(1, "x", "a"), (2, "x", "b")]), slots([(1, "x", "a"), (3, "x", "b")]), ["row"]).first()
+    assert (rate.slots, rate.agreed) == (3, 1)
