@@ -207,9 +207,13 @@ def repeated_lines(docs: DataFrame, from_words: int = FROM_WORDS) -> DataFrame:
     verdicts = classes.select("h", "place", "n").join(near, "h", "left").filter("n > 1 or near_place is not null")
     removed = lines.select("doc_id", "line", "h").join(verdicts, "h").withColumn("own", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line") == F.col("place"))
     first = F.coalesce("near_place", "place")
-    return removed.filter("not own or near_place is not null").select(
-        "doc_id", "line", F.col("own").alias("near"), first["doc_id"].alias("first_doc"), first["line"].alias("first_line")
+    result = scratch.keep(
+        removed.filter("not own or near_place is not null").select(
+            "doc_id", "line", F.col("own").alias("near"), first["doc_id"].alias("first_doc"), first["line"].alias("first_line")
+        )
     )
+    scratch.drop(lines, classes, likely, sequences)
+    return result
 
 
 def _bitmap(classes: DataFrame) -> bytes:
@@ -241,7 +245,7 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     split = F.split("text", "\n", -1)
     lines = F.when(F.col("text").isNull() | (F.col("text") == ""), F.array().cast("array<string>")).otherwise(split)
     none = F.array().cast("array<int>")
-    joined = docs.withColumn(key, lines).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(d)), "left").withColumn("removed", F.coalesce("removed", none))
+    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(d)), "left").withColumns({"removed": F.coalesce("removed", none), key: lines})
     left = F.filter(F.col(key), lambda x, i: ~F.array_contains("removed", i))
     text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(left, "\n"))
     return joined.select(
