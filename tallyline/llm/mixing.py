@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from .names import fresh
 from .scratch import Scratch
 
-WORD = r"[^\x20\x09-\x0D]+"
+#: Any run but of the six white-space characters, named one by one: a class of single characters is a table look-up.
+WORD = r"[^\x20\x09\x0A\x0B\x0C\x0D]+"
 SETTLED = "array<struct<id:bigint,up:boolean>>"
 
 #: Folds units (w, id, x), x their copy probability: two at a time, until each but the carried one is settled.
