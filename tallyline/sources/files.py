@@ -150,3 +150,20 @@ def quarantine_names(decisions: DataFrame, taken: DataFrame) -> DataFrame:
     hashed = F.concat(stem, F.lit("-"), F.substring("sha256", 1, 12))
     name = F.when(n == 0, F.col("relative_path")).when(n == 1, F.concat(hashed, suffix)).otherwise(F.concat(hashed, F.lit("-"), n.cast("string"), suffix))
     return marked.select("relative_path", "sha256", name.alias("quarantine_path"))
+
+
+def results_bytes(statements: DataFrame, order: str, status: str, diagnostics: Sequence[str]) -> Iterable[bytes]:
+    """The batch's JSON, a statement at a time in source order (SNK2); the driver holds one partition."""
+    import json
+
+    fields = [c for c in statements.columns if c != order]
+    lines = statements.withColumn("__json", canonical_json(fields)).orderBy(order).select("__json")
+    yield b'{"diagnostics":' + json.dumps(list(diagnostics), ensure_ascii=False, separators=(",", ":")).encode() + b',"statements":['
+    for i, row in enumerate(lines.toLocalIterator()):
+        yield b"," * bool(i) + row["__json"].encode()
+    yield b'],"status":' + json.dumps(status).encode() + b"}\n"
+
+
+def summary(statuses: DataFrame, status: str = "status") -> str:
+    """Counts by status, the only thing that reaches a console (SNK11)."""
+    return ", ".join(f"{r[0]}: {r[1]}" for r in statuses.groupBy(status).count().orderBy(status).collect())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions import geometry as g
 from tallyline.operators import dedup, digests, evaluate, evidence, graph, joins, layout, reconcile, splits, windows
-from tallyline.sources import files, tsv
+from tallyline.sources import extract, files, tsv
 from tallyline.streaming import flows
 
 TX = "statement_id string, input_index int, transaction_id string, billed_amount decimal(18,2), billing_currency string, group_ids array<string>, ambiguities array<string>"
@@ -279,3 +279,19 @@ def test_drift_and_agreement(spark):
     slots = lambda rows: spark.createDataFrame(rows, "row int, role string, value string")
     rate = evaluate.agreement(slots([(1, "x", "a"), (2, "x", "b")]), slots([(1, "x", "a"), (3, "x", "b")]), ["row"]).first()
     assert (rate.slots, rate.agreed) == (3, 1)
+
+
+def test_extractors_and_results(spark, tmp_path):
+    import json
+
+    (tmp_path / "x.pdf").write_bytes(b"one two")
+    found = files.scan(spark, str(tmp_path)).select("path")
+    content = spark.read.format("binaryFile").load(str(tmp_path / "x.pdf"))
+    words = extract.words_of_files(content, lambda b: [(1, w, (i, 0.0, i + 1.0, 1.0), "digital", 1.0) for i, w in enumerate(b.decode().split())]).collect()
+    assert [w.text for w in words] == ["one", "two"] and words[0].document_id == hashlib.sha256(b"one two").hexdigest() and found.count() == 1
+    with pytest.raises(Exception, match="not installed"):
+        extract.recogniser_lines(spark.createDataFrame([("d", 1, bytearray(b"x"))], "document_id string, page int, content binary"), binary="no-such-binary").collect()
+    statements = spark.createDataFrame([(1, "b", None), (0, "a", "x")], "o int, id string, note string")
+    made = json.loads(b"".join(files.results_bytes(statements, "o", "RECONCILED", ["code"])))
+    assert made == {"diagnostics": ["code"], "statements": [{"id": "a", "note": "x"}, {"id": "b", "note": None}], "status": "RECONCILED"}
+    assert files.summary(spark.createDataFrame([("A",), ("B",), ("A",)], "status string")) == "A: 2, B: 1"
