@@ -204,7 +204,8 @@ def repeated_lines(docs: DataFrame, from_words: int = FROM_WORDS) -> DataFrame:
     near = asked.mapInArrow(_verify_batches, "h long, earlier long")
     near = near.join(classes.select(F.col("h").alias("earlier"), F.col("place").alias("near_place")), "earlier").select("h", "near_place")
     # only classes that repeat or match an earlier one have lines to remove
-    verdicts = classes.select("h", "place", "n").join(near, "h", "left").filter("n > 1 or near_place is not null")
+    verdicts = scratch.keep(classes.select("h", "place", "n").join(near, "h", "left").filter("n > 1 or near_place is not null"))
+    # both sides are tables, so that a line with very many places can be split where they meet
     removed = lines.select("doc_id", "line", "h").join(verdicts, "h").withColumn("own", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line") == F.col("place"))
     first = F.coalesce("near_place", "place")
     result = scratch.keep(
@@ -212,7 +213,7 @@ def repeated_lines(docs: DataFrame, from_words: int = FROM_WORDS) -> DataFrame:
             "doc_id", "line", F.col("own").alias("near"), first["doc_id"].alias("first_doc"), first["line"].alias("first_line")
         )
     )
-    scratch.drop(lines, classes, likely, sequences)
+    scratch.drop(lines, classes, likely, sequences, verdicts)
     return result
 
 
