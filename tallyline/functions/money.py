@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .let import diagnostics, let
-from .text import CLITICS, has_phrase, normalize_text, phrase_tokens
+from .text import CLITICS, normalize_text, padded, phrase_in, phrase_tokens
 
 # fixed values
 CURRENCIES = {
@@ -28,12 +28,9 @@ AMOUNT = "decimal(38,2)"
 def canonical_currency(value: Column) -> Column:
     """ISO code of a whole known code, symbol or alias, else null."""
     table = F.create_map(*(F.lit(x) for pair in CURRENCIES.items() for x in pair))
-    plain = normalize_text(value)
-    return F.coalesce(
-        F.try_element_at(table, plain),
-        F.try_element_at(table, F.upper(plain)),
-        F.try_element_at(table, F.upper(F.array_join(phrase_tokens(value), " "))),
-    )
+    known = lambda code: F.try_element_at(table, code)
+    # most codes are known as they stand, so the rest is not tried for them
+    return let(normalize_text(value), lambda plain: F.coalesce(known(plain), known(F.upper(plain)), known(F.upper(F.array_join(phrase_tokens(plain), " ")))))
 
 
 def currencies_in(text: Column) -> Column:
@@ -95,11 +92,26 @@ def canonical_number(text: Column) -> Column:
 
     def judge(t: Column) -> Column:
         c = t["c"]
-        commas, dots = F.regexp_count(c, F.lit(",")), F.regexp_count(c, F.lit(r"\."))
+        marks = F.regexp_replace(c, "[^.,]", "")
+        parts = F.struct(
+            t["text"].alias("text"),
+            t["bad_groups"].alias("bad_groups"),
+            c.alias("c"),
+            F.regexp_count(marks, F.lit(",")).alias("commas"),
+            F.regexp_count(marks, F.lit(r"\.")).alias("dots"),
+            F.regexp_extract(c, "([^.,]*)$", 1).alias("fraction"),
+        )
+        return let(parts, split)
+
+    def split(t: Column) -> Column:
+        head = F.substr(t["c"], F.lit(1), F.length(t["c"]) - F.length(t["fraction"]) - 1)
+        last = F.substr(t["c"], F.length(t["c"]) - F.length(t["fraction"]), F.lit(1))
+        return let(F.struct(t.alias("t"), head.alias("head"), last.alias("last")), decide)
+
+    def decide(u: Column) -> Column:
+        t, head, last = u["t"], u["head"], u["last"]
+        c, commas, dots, fraction = t["c"], t["commas"], t["dots"], t["fraction"]
         both, lone, several = (commas > 0) & (dots > 0), (commas + dots) == 1, ((commas > 1) & (dots == 0)) | ((dots > 1) & (commas == 0))
-        fraction = F.element_at(F.split(c, "[.,]", -1), -1)
-        head = F.substr(c, F.lit(1), F.length(c) - F.length(fraction) - 1)
-        last = F.substr(c, F.length(head) + 1, F.lit(1))
         grouped = F.when(last == ",", head.rlike(r"^\d{1,3}(\.\d{3})*$")).otherwise(head.rlike(r"^\d{1,3}(,\d{3})*$"))
         digits = lambda x: F.regexp_replace(x, r"\D", "")
         problem = (
@@ -114,7 +126,7 @@ def canonical_number(text: Column) -> Column:
             .when((commas + dots == 0) & ~c.rlike(r"^\d+$"), "invalid_amount_text")
         )
         number = F.when(both | lone, F.concat(digits(head), F.lit("."), fraction)).otherwise(digits(c))
-        return F.struct(F.when(problem.isNull(), number).alias("digits"), problem.alias("problem"))
+        return let(problem, lambda p: F.struct(F.when(p.isNull(), number).alias("digits"), p.alias("problem")))
 
     return let(F.struct(F.trim(text).alias("text"), spaced.alias("spaced")), read)
 
@@ -125,15 +137,14 @@ def parse_amount(text: Column, hint: Column | None = None) -> Column:
 
     def lexical(s: Column) -> Column:
         explicit = F.when(F.size(s["found"]) == 1, F.element_at(s["found"], 1))
-        tokens = phrase_tokens(s["raw"])
         return let(
             F.struct(
                 s["hint"].alias("hint"),
                 canonical_currency(s["hint"]).alias("hinted"),
                 F.size(s["found"]).alias("n"),
                 explicit.alias("explicit"),
-                has_phrase(tokens, CREDIT, clitic=True).alias("credit"),
-                has_phrase(tokens, CHARGE, clitic=True).alias("charge"),
+                phrase_in(s["line"], CREDIT, clitic=True).alias("credit"),
+                phrase_in(s["line"], CHARGE, clitic=True).alias("charge"),
                 signed_core(F.regexp_replace(_without_markers(s["raw"]), CURRENCY, " ")).alias("core"),
             ),
             lambda t: let(F.struct(t.alias("t"), canonical_number(t["core"]["core"]).alias("number")), outcome),
@@ -174,8 +185,10 @@ def parse_amount(text: Column, hint: Column | None = None) -> Column:
             ),
         )
 
-    raw = normalize_text(text)
-    return let(F.struct(raw.alias("raw"), currencies_in(raw).alias("found"), hint.alias("hint")), lexical)
+    def scan(raw: Column) -> Column:
+        return let(F.struct(raw.alias("raw"), padded(phrase_tokens(raw)).alias("line"), currencies_in(raw).alias("found"), hint.alias("hint")), lexical)
+
+    return let(normalize_text(text), scan)
 
 
 def is_money_shaped(parsed: Column) -> Column:

@@ -60,20 +60,29 @@ def has_phrase(tokens: Column, phrases: Sequence[str], clitic: bool = False) ->
 
     ``clitic``: a Hebrew phrase may have one prefix letter on its first word.
     """
+    return let(padded(tokens), lambda p: phrase_in(p, phrases, clitic))
+
+
+def phrase_in(line: Column, phrases: Sequence[str], clitic: bool = False) -> Column:
+    """``has_phrase`` on tokens that are already one padded string."""
     found = F.lit(False)
     for phrase in phrases:
-        found = found | padded(tokens).contains(f" {phrase} ")
+        found = found | line.contains(f" {phrase} ")
         if clitic and any("\u0590" <= c <= "\u05ff" for c in phrase):
-            found = found | padded(tokens).rlike(f" [{CLITICS}]{phrase} ")
+            found = found | line.rlike(f" [{CLITICS}]{phrase} ")
     return found
 
 
 def category(description: Column, has_installment: Column | None = None) -> Column:
     """First category of the vocabulary that the description has a word of; an installment overrides it."""
-    tokens = phrase_tokens(F.coalesce(description, F.lit("")))
-    chain = F.lit("UNKNOWN")
-    for name, phrases in reversed(CATEGORIES):
-        chain = F.when(has_phrase(tokens, phrases), F.lit(name)).otherwise(chain)
+
+    def first(line: Column) -> Column:
+        chain = F.lit("UNKNOWN")
+        for name, phrases in reversed(CATEGORIES):
+            chain = F.when(phrase_in(line, phrases), F.lit(name)).otherwise(chain)
+        return chain
+
+    chain = let(padded(phrase_tokens(F.coalesce(description, F.lit("")))), first)
     return chain if has_installment is None else F.when(has_installment, F.lit("INSTALLMENT")).otherwise(chain)
 
 

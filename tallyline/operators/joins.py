@@ -91,13 +91,15 @@ def pareto_front(df: DataFrame, group: Sequence[str], item_id: str, up: Sequence
     return scored.join(other, same & as_good & better_one, "left_anti").select(*df.columns)
 
 
-def vocabulary_scores(texts: DataFrame, vocabulary: DataFrame, text_id: Sequence[str], score: Callable[[Column, Column], Column]) -> DataFrame:
+def vocabulary_scores(texts: DataFrame, vocabulary: DataFrame, text_id: Sequence[str], score: Callable[[Column, Column], Column], above: float | None = None) -> DataFrame:
     """Best score of each text against each role of a closed vocabulary (role, term).
 
     The vocabulary is a constant of a few hundred terms, so it is broadcast.
+    With ``above``, pairs that score no more are dropped where they are made.
     """
-    pairs = texts.join(F.broadcast(vocabulary), F.lit(True), "inner")
-    return pairs.groupBy(*text_id, "role").agg(F.max(score(F.col("tokens"), F.col("term"))).alias("score"))
+    pairs = texts.join(F.broadcast(vocabulary), F.lit(True), "inner").select(*text_id, "role", score(F.col("tokens"), F.col("term")).alias("score"))
+    pairs = pairs if above is None else pairs.filter(F.col("score") > above)
+    return pairs.groupBy(*text_id, "role").agg(F.max("score").alias("score"))
 
 
 def fuse_words(primary: DataFrame, supplemental: DataFrame, page: Sequence[str]) -> DataFrame:

@@ -27,3 +27,10 @@ def query(sql: str | None = None):
         return f
 
     return declare
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores before heavy expressions: a file of one row group is one task otherwise. Larger tables have splits enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * (16 << 20) else df

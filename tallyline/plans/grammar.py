@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
-from .base import Tables, query
+from .base import Tables, query, spread
 
 CENTS = "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT)"
 
@@ -33,7 +33,7 @@ def _amount_forms(t: Tables) -> DataFrame:
         F.concat(whole.cast("string"), F.lit(" apples JPY")),
     ]
     hint = F.when(F.col("form") == 3, "GBP").when(F.col("form") == 6, "USD")
-    return df.withColumn("written", F.element_at(F.array(*forms), (F.col("form") + 1).cast("int"))).withColumn("hint", hint)
+    return spread(df).withColumn("written", F.element_at(F.array(*forms), (F.col("form") + 1).cast("int"))).withColumn("hint", hint)
 
 
 @query(f"""
