@@ -7,9 +7,11 @@ put in, left out, replaced or moved. Lines of fewer than FROM_WORDS words match
 only if all their words are equal, and lines without words never.
 
 Equal lines are one class before anything is paired, known by its earliest
-place. A match leaves the first or the last half of a line untouched, so only
-classes that share a half with another class go on; each of these emits all its
-variants (itself and every deletion) as hashed keys. The earliest class of each
+place. Of the three parts of a line, two taken words leave one untouched: the
+first or the last at its place, or the middle, moved by one word where one word
+is taken before it and the other behind it. Only classes that share such a part
+with another class go on; each of these emits all its variants (itself and
+every deletion) as hashed keys. The earliest class of each
 key, a minimum that is combined before the shuffle, is the candidate of all
 others of that key, so no pairs within a key are made however many lines share
 it. The candidate is verified on the words themselves. A line stays if it is
@@ -77,13 +79,23 @@ def _lines(data: np.ndarray, bounds: np.ndarray):
     return doc, number, first, end, words
 
 
-def _halves(seq: Sequences, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """(lines, 4) hashes: first and last half of n words, and of n - 1, as a line one word shorter has them."""
+def _parts(seq: Sequences, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(lines, 6) hashes of parts; lines that match share one.
+
+    The parts are those of the longer line of a pair, n words or one more than
+    this line has. Of two lines of n words, the first or last third is the same
+    in both, or the middle of one is the other's a word earlier; where one line
+    is a word shorter, one word is taken and the first or last third is whole.
+    """
     n = end - first
     keys = []
-    for size in (n // 2, (n - 1) // 2):
-        keys += [seq.run(first, first + size), seq.run(end - size, end) ^ _U(0x5555555555555555)]
-    return np.stack(keys, 1).view(np.int64)
+    for longer in (n, n + 1):
+        t = longer // 3
+        keys += [(longer, 0, first, first + t), (longer, 1, end - t, end)]
+    t = n // 3
+    keys += [(n, 2, first + t, end - t), (n, 2, first + t - 1, end - t - 1)]
+    with np.errstate(over="ignore"):
+        return np.stack([seq.run(a, b) ^ (longer * 3 + part).astype(np.uint64) * _U(0x9E3779B97F4A7C15) for longer, part, a, b in keys], 1).view(np.int64)
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -100,15 +112,15 @@ def _line_batches(from_words: int):
                 seq = Sequences(words.hash)
                 h = seq.run(first, end).view(np.int64)
                 long_ = end - first >= from_words
-                at = np.concatenate([[0], np.cumsum(long_ * 4)]).astype(np.int32)
+                at = np.concatenate([[0], np.cumsum(long_ * 6)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(doc + start)),
                         pa.array(number.astype(np.int32)),
                         pa.array(h),
-                        pa.ListArray.from_arrays(pa.array(at), pa.array(_halves(seq, first[long_], end[long_]).reshape(-1))),
+                        pa.ListArray.from_arrays(pa.array(at), pa.array(_parts(seq, first[long_], end[long_]).reshape(-1))),
                     ],
-                    names=["doc_id", "line", "h", "halves"],
+                    names=["doc_id", "line", "h", "parts"],
                 )
 
     return run
@@ -179,12 +191,12 @@ def repeated_lines(docs: DataFrame, from_words: int = FROM_WORDS) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = scratch.keep(texts.mapInArrow(_line_batches(from_words), "doc_id long, line int, h long, halves array<long>"))
+    lines = scratch.keep(texts.mapInArrow(_line_batches(from_words), "doc_id long, line int, h long, parts array<long>"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")
-    classes = scratch.keep(lines.groupBy("h").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"), F.any_value("halves").alias("halves")))
-    half = classes.select("h", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = half.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo != hi").select("half")
-    likely = scratch.keep(half.join(shared, "half", "left_semi").select("h").distinct())
+    classes = scratch.keep(lines.groupBy("h").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"), F.any_value("parts").alias("parts")))
+    part = classes.select("h", F.explode(F.array_distinct("parts")).alias("part"))
+    shared = part.groupBy("part").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo != hi").select("part")
+    likely = scratch.keep(part.join(shared, "part", "left_semi").select("h").distinct())
     # the slots of the bitmap that hold a class: at most 2**MAP_BITS bits, set where they are found
     bits = _bitmap(likely)
     bitmap = spark.sparkContext.broadcast(bits)

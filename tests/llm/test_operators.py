@@ -94,6 +94,20 @@ def test_line_match(a, b, same):
     assert found == same == bool({a, *(a[:i] + a[i + 1 :] for i in range(len(a)))} & {b, *(b[:i] + b[i + 1 :] for i in range(len(b)))})
 
 
+def test_line_dedup_far_edits(spark):
+    """Pairs, without a third line, whose taken words lie in different halves of the two lines."""
+    rng, lines = random.Random(5), []
+    for k, n in enumerate([9, 10, 11, 12, 13, 14, 20, 31] * 6):
+        w = [f"w{k}x{i}" for i in range(n)]
+        p, q = sorted(rng.sample(range(n), 2)) if k >= 16 else (k // 8, n - 1 - k // 8)
+        moved, put = w[:p] + w[p + 1 : q + 1] + [w[p]] + w[q + 1 :], w[:p] + w[p + 1 : q + 1] + ["z"] + w[q + 1 :]
+        lines.append((w, moved, put, w[:q] + w[q + 1 :])[0 :: 1 + k % 3][:2])
+    texts = [" ".join(x) for pair in lines for x in pair]
+    assert all(linedup.matches(list(map(hash, a)), list(map(hash, b))) for a, b in lines)
+    out = {r.doc_id: r.n_near for r in linedup.dedup_lines(documents(spark, texts).select("doc_id", "text")).collect()}
+    assert [out[i] for i in range(len(texts))] == [0, 1] * len(lines)
+
+
 # 2 toxicity
 
 
