@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
+from ..operators import edits
 from .base import Tables, query, spread
 
 CENTS = "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT)"
@@ -259,11 +260,10 @@ def text_quality(t: Tables) -> DataFrame:
 
 
 def _pairs(t: Tables) -> DataFrame:
-    """Each document's and a benchmark item's ASCII heads."""
+    """Each document's whole text and that of a benchmark item."""
     n = t.benchmark.agg(F.count(F.lit(1)).alias("n"))
-    head = lambda c: F.regexp_replace(F.substring(c, 1, 60), r"[^\x20-\x7E]", "?")
-    items = t.benchmark.select("item_id", head("text").alias("reference"))
-    docs = t.documents.join(F.broadcast(n)).select("doc_id", F.pmod("doc_id", "n").alias("item_id"), F.col("lang"), head("text").alias("hypothesis"))
+    items = t.benchmark.select("item_id", F.col("text").alias("reference"))
+    docs = spread(t.documents.select("doc_id", "lang", F.col("text").alias("hypothesis"))).join(F.broadcast(n)).withColumn("item_id", F.pmod("doc_id", "n"))
     return docs.join(items, "item_id")
 
 
@@ -278,16 +278,17 @@ FROM p GROUP BY lang
 """)
 def char_error_rate(t: Tables) -> DataFrame:
     """Micro rate, sums of edits over sums of reference lengths."""
-    edits, units = F.sum(F.levenshtein("reference", "hypothesis")), F.sum(F.greatest(F.lit(1), F.length("reference")))
-    return _pairs(t).groupBy("lang").agg(edits.cast("long").alias("edits"), units.cast("long").alias("units"), F.round(edits / units, 9).alias("cer"))
+    counted = edits.edit_counts(_pairs(t), "reference", "hypothesis", ["lang"])
+    edited, units = F.sum("edits"), F.sum("units")
+    return counted.groupBy("lang").agg(edited.alias("edits"), units.alias("units"), F.round(edited / units, 9).alias("cer"))
 
 
 @query()
 def word_error_rate(t: Tables) -> DataFrame:
     """A19, F9 on tokens (the edit distance of arrays has no SQL function; tested against a plain one)."""
-    counted = _pairs(t).select("lang", text.word_error_counts(F.col("reference"), F.col("hypothesis")).alias("w"))
-    edits, words = F.sum("w.edits"), F.sum("w.words")
-    return counted.groupBy("lang").agg(edits.alias("edits"), words.alias("words"), F.round(edits / words, 9).alias("wer"))
+    counted = edits.edit_counts(_pairs(t), "reference", "hypothesis", ["lang"], words=True)
+    edited, words = F.sum("edits"), F.sum("units")
+    return counted.groupBy("lang").agg(edited.alias("edits"), words.alias("words"), F.round(edited / words, 9).alias("wer"))
 
 
 @query(r"""
