@@ -235,10 +235,9 @@ n AS (SELECT doc_id, len(regexp_extract_all(x, '[\p{Hebrew}\p{Arabic}]')) AS rtl
 SELECT doc_id, CASE WHEN rtl > ltr THEN 'rtl' ELSE 'ltr' END AS direction FROM n
 """)
 def text_direction(t: Tables) -> DataFrame:
-    """the direction of a text's head, Hebrew put into every third."""
-    head = F.substring("text", 1, 40)
-    mixed = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.regexp_replace(head, "[a-m]", "ש")).otherwise(head)
-    return t.documents.select("doc_id", text.direction(mixed).alias("direction"))
+    """the direction of a whole text, Hebrew put into every third."""
+    mixed = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.regexp_replace("text", "[a-m]", "ש")).otherwise(F.col("text"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", text.direction(mixed).alias("direction"))
 
 
 @query(r"""

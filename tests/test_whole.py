@@ -39,3 +39,9 @@ def test_error_rates(spark, tmp_path):
             want[lang] = edits + plain_distance(r, h), units + max(1, len(r))
         found = ask(spark, tmp_path / name, name, **tables)
         assert sorted(found) == [(lang, e, n, round(e / n, 9)) for lang, (e, n) in sorted(want.items())]
+
+
+def test_direction_behind_the_head(spark, tmp_path):
+    docs = [(1, "a" * 40 + "ש" * 41), (2, "ש" * 40 + "a" * 41), (3, "z" * 40 + "a" * 41), (4, "a" * 41 + "ש" * 40), (6, "a" * 40 + "z" * 41)]
+    found = ask(spark, tmp_path, "text_direction", documents=(docs, "doc_id long, text string"))
+    assert dict(found) == {1: "rtl", 2: "ltr", 3: "rtl", 4: "ltr", 6: "ltr"}
