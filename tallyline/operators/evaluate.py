@@ -156,3 +156,9 @@ def bootstrap(df: DataFrame, unit: str, effect: str, samples: int, seed: str) ->
         F.round(F.expr("percentile_disc(0.975) WITHIN GROUP (ORDER BY mean)"), 9).alias("high"),
         F.count(F.lit(1)).alias("samples"),
     )
+
+
+def choose_policy(candidates: DataFrame, policy: str, within: Column, order: list) -> DataFrame:
+    """The first by ``order`` (then by name) of the candidates ``within`` the caps and the empty policy: a null name, and 0 in every other column."""
+    empty = candidates.sparkSession.range(1).select(*(F.lit(None if c == policy else 0).cast(kind).alias(c) for c, kind in candidates.dtypes))
+    return candidates.filter(within).unionByName(empty).orderBy(*order, policy).limit(1)

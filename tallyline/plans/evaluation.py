@@ -23,6 +23,10 @@ def _scored(t: Tables) -> DataFrame:
     )
 
 
+#: The largest share of a policy's rows that may be wrong.
+MOST_WRONG = 0.5
+
+
 def _exact():
     return F.col("guess") == F.col("quality")
 
@@ -276,7 +280,7 @@ def policy_choice(t: Tables) -> DataFrame:
     """The best candidate by a tuple of criteria, of those within the caps."""
     wrong = F.col("guess") != F.col("quality")
     p = _scored(t).groupBy("source").agg(F.count_if(~wrong).alias("exact"), F.count_if(wrong).alias("errors"), F.count_if(F.col("toxic") == 1).alias("omissions"), F.sum("doc_id").alias("latency"))
-    return p.filter("errors <= 20").orderBy(F.desc("exact"), "errors", "omissions", "latency", "source").limit(1).select("source", "exact", "errors")
+    return ev.choose_policy(p, "source", F.col("errors") <= MOST_WRONG * (F.col("exact") + F.col("errors")), [F.desc("exact"), "errors", "omissions", "latency"]).select("source", "exact", "errors")
 
 
 @query(f"""

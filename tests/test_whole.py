@@ -45,3 +45,16 @@ def test_direction_behind_the_head(spark, tmp_path):
     docs = [(1, "a" * 40 + "ש" * 41), (2, "ש" * 40 + "a" * 41), (3, "z" * 40 + "a" * 41), (4, "a" * 41 + "ש" * 40), (6, "a" * 40 + "z" * 41)]
     found = ask(spark, tmp_path, "text_direction", documents=(docs, "doc_id long, text string"))
     assert dict(found) == {1: "rtl", 2: "ltr", 3: "rtl", 4: "ltr", 6: "ltr"}
+
+
+def test_policy_of_many_rows(spark, tmp_path):
+    schemas = {"labels": "doc_id long, quality int, toxic int", "documents": "doc_id long, lang string, source string, n_chars long"}
+    # 40 rows of "a" with 25 % errors, 40 of "b" with 50 %, 40 of "c" with 60 %: a guess is 1
+    share = {"a": 10, "b": 20, "c": 24}
+    labels = [(i, int(i % 40 >= share["abc"[i // 40]]), 0) for i in range(120)]
+    docs = [(i, "x", "abc"[i // 40], 7) for i in range(120)]
+    many = [(200 + 120 * k + i, q, t) for k in range(5) for i, q, t in labels], [(200 + 120 * k + i, *rest) for k in range(5) for i, *rest in docs]
+    found = lambda name, rows: ask(spark, tmp_path / name, "policy_choice", **{t: (r, schemas[t]) for t, r in zip(("labels", "documents"), rows, strict=True)})
+    assert found("few", (labels, docs)) == [("a", 30, 10)]
+    assert found("many", many) == [("a", 150, 50)]
+    assert found("worst", ([x for x in labels if x[0] >= 80], docs)) == [(None, 0, 0)]
