@@ -78,7 +78,7 @@ def provenance_strings(t: Tables) -> DataFrame:
     """SNK5."""
     n = F.col("l_linenumber")
     box = F.struct((n / 2.0).alias("x0"), F.lit(0.0).alias("y0"), (n + 10).cast("double").alias("x1"), F.lit(0.25).alias("y1"))
-    lines = t.lineitem.select("l_orderkey", "l_linenumber").distinct().filter(n % 2 == 1)
+    lines = t.lineitem.select("l_orderkey", "l_linenumber").distinct()
     grouped = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct((n % 2 + 1).alias("page"), "l_linenumber", box.alias("box")))).alias("refs"))
     made = grouped.withColumn("p", m.provenance(F.col("refs")))
     return made.select("l_orderkey", F.col("p.pages").alias("pages"), F.col("p.boxes").alias("boxes"))

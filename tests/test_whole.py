@@ -58,3 +58,10 @@ def test_policy_of_many_rows(spark, tmp_path):
     assert found("few", (labels, docs)) == [("a", 30, 10)]
     assert found("many", many) == [("a", 150, 50)]
     assert found("worst", ([x for x in labels if x[0] >= 80], docs)) == [(None, 0, 0)]
+
+
+def test_provenance_of_every_line(spark, tmp_path):
+    lines = [(1, 1), (1, 2), (1, 3), (1, 4), (1, 2), (2, 6), (3, 5)]
+    found = ask(spark, tmp_path, "provenance_strings", lineitem=(lines, "l_orderkey long, l_linenumber int"))
+    box = lambda n: f"{n % 2 + 1}:{n / 2:.15g},0,{n + 10},0.25"
+    assert sorted(found) == [(1, "1;2", ";".join(map(box, (2, 4, 1, 3)))), (2, "1", box(6)), (3, "2", box(5))]
