@@ -32,19 +32,20 @@ def shared_groups(members: DataFrame, node: str, group: str, spark_tables: Durab
             return labels
 
 
-def owner_chains(rows: DataFrame, row: str, owner: str, most: int = 64, spark_tables: Durable | None = None) -> DataFrame:
+def owner_chains(rows: DataFrame, row: str, owner: str, spark_tables: Durable | None = None) -> DataFrame:
     """(row, root, state): where each chain of owners ends, by pointer doubling.
 
     A null owner is a root. ``state`` is ``ok``, ``cycle`` for rows that never
-    reach a root, or ``missing`` where an owner does not exist.
+    reach a root, or ``missing`` where an owner does not exist. Rounds end when
+    one settles no row: a longer chain has rows at every distance below its own.
     """
     tables = spark_tables or Durable(rows.sparkSession)
     known = rows.select(F.col(row).alias("row"), F.col(owner).alias("next"))
     check = known.join(known.select(F.col("row").alias("next"), F.lit(True).alias("known")), "next", "left")
     state = check.select("row", F.when(F.col("next").isNull(), F.col("row")).otherwise(F.col("next")).alias("to"), F.col("next").isNull().alias("done"), (F.col("next").isNotNull() & F.col("known").isNull()).alias("lost"))
     state = tables.keep(state)
-    step = 1
-    while step < most and state.filter("not done and not lost").limit(1).count():
+    open_, before_open = state.filter("not done and not lost").count(), None
+    while open_ and open_ != before_open:
         ahead = state.select(F.col("row").alias("to"), F.col("to").alias("far"), F.col("done").alias("far_done"), F.col("lost").alias("far_lost"))
         moved = state.join(ahead, "to", "left").select(
             "row",
@@ -54,6 +55,6 @@ def owner_chains(rows: DataFrame, row: str, owner: str, most: int = 64, spark_ta
         )
         before, state = state, tables.keep(moved)
         tables.drop(before)
-        step *= 2
+        before_open, open_ = open_, state.filter("not done and not lost").count()
     result = F.when(F.col("lost"), "missing").when(F.col("done"), "ok").otherwise("cycle")
     return state.select("row", F.when(F.col("done") & ~F.col("lost"), F.col("to")).alias("root"), result.alias("state"))

@@ -127,6 +127,13 @@ def test_graph(spark):
     assert chains == {1: (1, "ok"), 2: (1, "ok"), 3: (1, "ok"), 4: (None, "cycle"), 5: (None, "cycle"), 6: (None, "missing")}
 
 
+def test_long_chains(spark):
+    """A chain to a root, one to an unknown owner and one into a cycle, each longer than 64 rows."""
+    rows = [(0, None)] + [(i, i - 1) for i in range(1, 300)] + [(1000 + i, 999 + i) for i in range(150)] + [(2000, 2002), *((2000 + i, 1999 + i) for i in range(1, 150))]
+    found = {r.row: (r.root, r.state) for r in graph.owner_chains(spark.createDataFrame(rows, "r long, o long"), "r", "o").collect()}
+    assert found == {r: (0, "ok") if r < 1000 else (None, "missing" if r < 2000 else "cycle") for r, _ in rows}
+
+
 def test_digests(spark):
     rows = [(i, f"v{i}") for i in range(50)]
     a = spark.createDataFrame(rows, "o long, v string")
