@@ -460,6 +460,18 @@ def test_signature_estimates():
 # 10 embeddings
 
 
+def test_embeddings_at_the_threshold(spark):
+    """Of a table that is not large, no pair is missed, however near to the threshold."""
+    rng = np.random.default_rng(4)
+    x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in rng.standard_normal((2, 1500, 48)))
+    y -= (x * y).sum(1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    near = 0.9005 * x + (1 - 0.9005**2) ** 0.5 * y
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, near]))]
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == 3000 and set(got.values()) == {1}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(700, 16))
