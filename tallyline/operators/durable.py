@@ -1,4 +1,10 @@
-"""Intermediate tables of iterative operators, in the folder that the cluster names in ``spark.checkpoint.dir``."""
+"""Intermediate tables of iterative operators, in the folder that the cluster names in ``spark.checkpoint.dir``.
+
+A table that is read more than once is written there, so that a lost executor
+costs a re-read and never a recomputation from lost local blocks. The folder of
+a ``Durable`` is deleted when the session's JVM ends; tables that no later step
+reads are deleted before.
+"""
 
 from __future__ import annotations
 
@@ -8,25 +14,45 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def folder(spark: SparkSession) -> str:
+    """The shared folder of the session. Where none is named, a local session (tests) gets a fresh one and a cluster an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        named = "file://" + tempfile.mkdtemp(prefix="tallyline-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
 class Durable:
+    """Parquet tables under one folder of their own in the shared folder."""
+
     def __init__(self, spark: SparkSession):
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:  # in tests
-            named = "file://" + tempfile.mkdtemp(prefix="tallyline-")
-            spark.conf.set("spark.checkpoint.dir", named)
-        self.spark, self.root, self.made = spark, f"{named.rstrip('/')}/tallyline-{uuid.uuid4().hex}", 0
+        self.spark = spark
+        self.root = f"{folder(spark)}/tallyline-{uuid.uuid4().hex}"
+        self.made = 0
+
+    def _at(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """Written and reread, so that lost executors cost a read and lineage doesn't grow."""
+        """Write ``df`` and return it reread, with its lineage cut."""
         self.made += 1
         path = f"{self.root}/{self.made:04d}"
         df.write.parquet(path)
+        if self.made == 1:
+            target, files = self._at(self.root)
+            files.deleteOnExit(target)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._durable_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        path = getattr(df, "_durable_path", None)
-        if path:
-            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+    def drop(self, *frames: DataFrame | None) -> None:
+        """Delete tables that no later step reads."""
+        for df in frames:
+            path = getattr(df, "_durable_path", None)
+            if path:
+                target, files = self._at(path)
+                files.delete(target, True)
