@@ -18,7 +18,7 @@ def folder(spark: SparkSession) -> str:
     """The shared folder of the session. Where none is named, a local session (tests) gets a fresh one and a cluster an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         named = "file://" + tempfile.mkdtemp(prefix="tallyline-")
         spark.conf.set("spark.checkpoint.dir", named)
