@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyline.llm import decontam, mixing, neardup, sharding, toxicity
-from tallyline.llm.scratch import Scratch
+from tallyline.operators.durable import Durable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written to the shared folder and reread."""
-    scratch = Scratch(spark)
+    scratch = Durable(spark)
     docs = _table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         before, docs = docs, stage(spark, docs, sf_dir)
