@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from ..operators.durable import Durable
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("u", F.col("m").alias("v")))
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Durable) -> DataFrame:
     """(node, component): every node of an edge (u, v) but the smallest of its component, and that smallest."""
     edges = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, seen = scratch.keep(edges), None

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from ..operators.durable import Durable
 
 K = 3
 DRIFT = 2
@@ -139,7 +139,7 @@ def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame
     texts = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     of_phrase = lambda c: F.when(F.col("phrase"), c)
     # few rows, read by both kinds of passages
-    found = Scratch(df.sparkSession).keep(hits(texts))
+    found = Durable(df.sparkSession).keep(hits(texts))
     labelled = (
         passages(found)
         .groupBy("doc_id", "hash")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .names import fresh
-from .scratch import Scratch
+from ..operators.durable import Durable
 
 #: Any run but of the six white-space characters, named one by one: a class of single characters is a table look-up.
 WORD = r"[^\x20\x09\x0A\x0B\x0C\x0D]+"
@@ -114,7 +114,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], budget: float, cap: fl
     )
 
 
-def decide(sizes: DataFrame, goals: DataFrame, block: int, seed: int, scratch: Scratch) -> DataFrame:
+def decide(sizes: DataFrame, goals: DataFrame, block: int, seed: int, scratch: Durable) -> DataFrame:
     """(source, id, copies) of every unit with words, from rows (source, id, size) and the sources' targets."""
     units = sizes.filter("size > 0").groupBy("source", "id").agg(F.sum("size").cast("double").alias("w"))
     fraction = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -157,7 +157,7 @@ def decide(sizes: DataFrame, goals: DataFrame, block: int, seed: int, scratch: S
 
 def _decided(df: DataFrame, names: tuple[str, str, str, str], weights: tuple[float, ...], budget: float, cap: float, block: int, seed: int, text: str, source: str, doc_id: str) -> DataFrame:
     """``df`` with four more columns: size, source_size, target and copies under the given names."""
-    scratch = Scratch(df.sparkSession)
+    scratch = Durable(df.sparkSession)
     sizes = scratch.keep(df.select(F.col(source).alias("source"), F.col(doc_id).cast("long").alias("id"), word_count(F.col(text)).alias("size")))
     goals = scratch.keep(targets(sizes, weights, budget, cap))
     copies = decide(sizes, goals, block, seed, scratch)

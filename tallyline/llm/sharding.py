@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .names import fresh
-from .scratch import Scratch
+from ..operators.durable import Durable
 
 KEY_BITS, TEXT_BITS, RADIX_BITS = 62, 38, 8
 OVERHEAD = 8
@@ -112,7 +112,7 @@ def shard(df: DataFrame, n_shards: int = 24, pieces: int = 8, tolerance: float =
     task handles a whole shard. ``tolerance`` is a share of one piece's bytes.
     """
     key, piece = fresh(df, "key"), fresh(df, "piece")
-    scratch = Scratch(df.sparkSession)
+    scratch = Durable(df.sparkSession)
     size = size_of(F.col(text)) if size is None else size
     keys = scratch.keep(df.select(order_key(F.col(text), F.col(doc_id)).alias("k"), size.alias("n")))
     splitters, _ = find_splitters(keys, "k", "n", n_shards * pieces, tolerance)

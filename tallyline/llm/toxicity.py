@@ -4,14 +4,13 @@ Model. A word's embedding is the sum of four rows of one hashed table: those of
 the whole word and of its first 4, 5 and 7 bytes, so that an unseen inflection
 still has its stem's rows. Filters of widths 1, 2 and 3 run over a text's
 words; each filter's three largest activations (max pooling, kept three deep so
-that one chance hit is told from several) and its mean feed a logistic output.
+that one chance hit is told from several) feed a logistic output.
 
-Training. The whole-table statistics are not needed: a bounded sample of
-labelled rows is fitted on the driver (MOST_ROWS of each class in the order of
-a hash of their ids, texts of up to MOST_BYTES), with Adam steps on minibatches
-of both classes. One embedding dimension starts at a lower confidence bound of
-a bucket's log odds; the rest starts at random with a fixed seed. Only rows
-whose ``crc32(doc_id as text) % 5`` is not 0 are used.
+Training. A bounded sample of labelled rows (MOST_ROWS of each class in the
+order of a hash of their ids, texts of up to MOST_BYTES) is fitted by one task
+of an executor, so the driver has the model alone, whose size is fixed. All
+weights start at random with a fixed seed and learn by Adam steps on minibatches
+of both classes. Only rows whose ``crc32(doc_id as text) % 5`` is not 0 are used.
 
 Calibration. The language of a text is guessed from its function words, never
 read from a column. On rows with remainder 1, which the fit does not see, every
@@ -19,7 +18,9 @@ language with enough rows gets the threshold that separates best; others share
 a global one. The score is the logistic function of the distance from it, so
 0.5 is the threshold everywhere.
 
-Scoring reads whole texts in Arrow batches and needs no shuffle.
+Scoring reads whole texts in Arrow batches and needs no shuffle. A long text is
+read in overlapping pieces of about PIECE_BYTES, cut between words; each piece
+adds its largest activations, of which a text keeps the largest.
 
 Defined results: a null or empty text is scored as a text without words; rows
 that repeat have equal scores; without labels of both classes every score is
@@ -28,6 +29,7 @@ that repeat have equal scores; without labels of both classes every score is
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,11 +43,13 @@ from .names import fresh
 
 PREFIXES = (0, 4, 5, 7)  # bytes; 0: the whole word
 TABLE_BITS = 18
-WIDTH, FILTERS, SPANS, DEEP = 12, 8, (1, 2, 3), 3
+WIDTH, FILTERS, SPANS, DEEP = 12, 16, (1, 2, 3), 3
 FOLDS = 5
 MOST_ROWS, MOST_BYTES = 2000, 1 << 15
 STEPS, BATCH = 240, 64
+NOISE, BIAS, DROPPED = 0.001, 0.0, 0.3
 SCORED_WORDS = 1 << 16
+PIECE_BYTES = 1 << 18
 
 # fixed values: frequent function words
 FUNCTION_WORDS = {
@@ -89,14 +93,21 @@ def _function_hashes() -> tuple[np.ndarray, np.ndarray]:
     return known, np.stack([np.isin(known, h) for h in found], axis=1).astype(float)
 
 
-def languages(words: tk.Words) -> np.ndarray:
-    """Index in LANGUAGES of every text: the most function words, the first of equals, ``other`` without any."""
+def function_words(words: tk.Words) -> np.ndarray:
+    """(texts, languages) numbers of words that are function words of each language."""
     known, of = _function_hashes()
     place = np.minimum(np.searchsorted(known, words.hash), len(known) - 1)
     at = np.flatnonzero(known[place] == words.hash)
-    n = len(FUNCTION_WORDS)
-    counts = np.stack([np.bincount(words.doc[at], of[place[at], i], words.n_docs) for i in range(n)], axis=1)
-    return np.where(counts.max(1, initial=0) > 0, counts.argmax(1), n)
+    return np.stack([np.bincount(words.doc[at], of[place[at], i], words.n_docs) for i in range(len(FUNCTION_WORDS))], axis=1)
+
+
+def _most(counts: np.ndarray) -> np.ndarray:
+    return np.where(counts.max(1, initial=0) > 0, counts.argmax(1), len(FUNCTION_WORDS))
+
+
+def languages(words: tk.Words) -> np.ndarray:
+    """Index in LANGUAGES of every text: the most function words, the first of equals, ``other`` without any."""
+    return _most(function_words(words))
 
 
 def _embed(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -125,26 +136,24 @@ def _activations(model: Model, x: np.ndarray, last: np.ndarray) -> np.ndarray:
     return out
 
 
-def _summary(acts: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _largest(acts: np.ndarray, first: np.ndarray) -> np.ndarray:
     """What ``_pool`` gives as features, for scoring, which needs no places."""
     starts = first[:-1]
     n = acts.shape[1]
-    out = np.zeros((len(starts), (DEEP + 1) * n), np.float32)
+    out = np.zeros((len(starts), DEEP * n), np.float32)
     for d, (start, end) in enumerate(zip(starts.tolist(), first[1:].tolist(), strict=True)):
         own = acts[start:end]
         if end - start > DEEP:
             own = np.partition(own, end - start - DEEP, axis=0)[end - start - DEEP :]
         top = -np.sort(-own, axis=0)
         out[d, : top.size] = top.reshape(-1)
-    out[:, DEEP * n :] = np.add.reduceat(acts, starts, axis=0) / np.diff(first)[:, None] * MEAN_SCALE
     return out
 
 
-def _pool(acts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts that have words: (texts, DEEP, filters) largest activations, their word indexes, and (texts, filters) means."""
+def _pool(acts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts that have words: (texts, DEEP, filters) largest activations, and their word indexes."""
     sizes = np.diff(first)
     starts = first[:-1]
-    mean = np.add.reduceat(acts, starts, axis=0) / sizes[:, None]
     top = np.zeros((len(starts), DEEP, acts.shape[1]), np.float32)
     where = np.full(top.shape, -1, np.int64)
     doc = np.repeat(np.arange(len(starts)), sizes)
@@ -160,10 +169,7 @@ def _pool(acts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         r, f = np.nonzero((at < len(acts)) & (most > 0))
         where[r, depth, f] = at[r, f]
         left[at[r, f], f] = -1
-    return top, where, mean
-
-
-MEAN_SCALE = 20.0
+    return top, where
 
 
 def _forward(model: Model, rows: np.ndarray, first: np.ndarray):
@@ -172,14 +178,14 @@ def _forward(model: Model, rows: np.ndarray, first: np.ndarray):
     sizes = np.diff(first)
     last = np.repeat(first[1:], sizes) - np.arange(len(x))
     acts = _activations(model, x, last)
-    top, where, mean = _pool(acts, first)
-    features = np.concatenate([top.reshape(len(top), -1), mean * MEAN_SCALE], axis=1)
-    return features @ model.out + model.shift, x, where, features
+    top, where = _pool(acts, first)
+    top = top.reshape(len(top), -1)
+    return top @ model.out + model.shift, x, where, top
 
 
-def logits(model: Model, words: tk.Words) -> np.ndarray:
-    """One per text; a text without words has the output's bias. Long runs are cut at text ends."""
-    out = np.full(words.n_docs, model.shift, np.float32)
+def features(model: Model, words: tk.Words) -> np.ndarray:
+    """(texts, DEEP * filters) largest activations; zeros for a text without words. Long runs are cut at text ends."""
+    out = np.zeros((words.n_docs, len(model.out)), np.float32)
     rows = buckets(words)
     have = np.flatnonzero(np.diff(words.first) > 0)
     i = 0
@@ -190,12 +196,53 @@ def logits(model: Model, words: tk.Words) -> np.ndarray:
         docs = have[i:j]
         start, end = words.first[docs[0]], words.first[docs[-1] + 1]
         first = np.append(words.first[docs], end) - start
-        acts = _activations(model, _embed(model.table, rows[:, start:end]), np.repeat(first[1:], np.diff(first)) - np.arange(end - start))
-        out[docs] = _summary(acts, first) @ model.out + model.shift
+        out[docs] = _largest(_activations(model, _embed(model.table, rows[:, start:end]), np.repeat(first[1:], np.diff(first)) - np.arange(end - start)), first)
         i = j
     return out
 
 
+def _pieces(data: np.ndarray, inside: np.ndarray) -> Iterator[tuple[tk.Words, bool]]:
+    """The words of one text in pieces of about PIECE_BYTES, and whether more follow.
+
+    A piece ends between words, and the next begins with its last words, as many as a filter can reach on from a word.
+    """
+    overlap = max(SPANS) - 1
+    begin, reach = 0, PIECE_BYTES
+    while True:
+        end = min(begin + reach, len(data))
+        if end < len(data):  # the rest of a word that the cut would go through
+            gap = np.flatnonzero(~inside[data[end : end + PIECE_BYTES]])
+            if not len(gap):
+                reach += PIECE_BYTES
+                continue
+            end += int(gap[0])
+        words = tk.Words(data[begin:end], np.array([0, end - begin]), inside, fold_latin=True)
+        more = end < len(data)
+        if more and len(words.hash) <= overlap:  # too few words to go on from
+            reach += PIECE_BYTES
+            continue
+        yield words, more
+        if not more:
+            return
+        begin, reach = begin + int(words.start[-overlap]), PIECE_BYTES
+
+
+def _long_features(model: Model, data: np.ndarray) -> tuple[np.ndarray, int]:
+    """``features`` and the language of one long text."""
+    inside, best, counts = tk.byte_class("alnum"), np.zeros((1, len(model.out)), np.float32), 0
+    for words, more in _pieces(data, inside):
+        n = len(words.hash)
+        # a language's words in the overlap count twice, which a text of this length doesn't notice
+        counts = counts + function_words(words)
+        if n:
+            acts = _activations(model, _embed(model.table, buckets(words)), np.arange(n, 0, -1))
+            if more:
+                acts = acts[: n - (max(SPANS) - 1)]
+            both = np.concatenate([best.reshape(DEEP, -1), acts])
+            best = _largest(both, np.array([0, len(both)]))
+    return best, int(_most(counts)[0])
+
+
 class _Adam:
     def __init__(self, shape, rate: float):
         self.m, self.v, self.n, self.rate = np.zeros(shape, np.float32), np.zeros(shape, np.float32), 0, rate
@@ -207,20 +254,7 @@ class _Adam:
         return value - self.rate * (self.m / (1 - 0.9**self.n)) / (np.sqrt(self.v / (1 - 0.99**self.n)) + 1e-6)
 
 
-def _odds(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Lower confidence bound of each bucket's log odds over texts, 0 where the sign isn't sure."""
-    size = 1 << TABLE_BITS
-    seen = np.zeros((2, size))
-    for r, y in zip(rows, labels, strict=True):
-        seen[y, np.unique(r)] += 1
-    n = np.bincount(labels, minlength=2)
-    p, q = seen[1] + 0.5, seen[0] + 0.5
-    ratio = np.log(p / (n[1] + 1)) - np.log(q / (n[0] + 1))
-    slack = 1.64 * np.sqrt(1 / p + 1 / q)
-    return np.clip(np.sign(ratio) * np.maximum(0, np.abs(ratio) - slack), -1, 5)
-
-
-def fit(texts: pa.Array, labels: np.ndarray, folds: np.ndarray, seed: int = 7) -> Model:
+def fit(texts: pa.Array, labels: np.ndarray, folds: np.ndarray, seed: int = 7, n_steps: int = STEPS) -> Model:
     """The model of labelled texts; rows of fold 1 calibrate the thresholds."""
     rows, lang = [], []
     batch = pa.RecordBatch.from_arrays([texts], names=["text"])
@@ -234,29 +268,27 @@ def fit(texts: pa.Array, labels: np.ndarray, folds: np.ndarray, seed: int = 7) -
     train = [np.flatnonzero((labels == y) & (folds != 1) & (sizes > 0)) for y in (0, 1)]
     n_filters = len(SPANS) * FILTERS
     model = Model(
-        table=rng.normal(0, 0.02, (1 << TABLE_BITS, WIDTH)).astype(np.float32),
+        table=rng.normal(0, NOISE, (1 << TABLE_BITS, WIDTH)).astype(np.float32),
         kernels=[rng.normal(0, 0.3, (s, WIDTH, FILTERS)).astype(np.float32) for s in SPANS],
-        bias=np.full(n_filters, -0.1, np.float32),
-        out=np.full((DEEP + 1) * n_filters, 0.05, np.float32),
+        bias=np.full(n_filters, BIAS, np.float32),
+        out=np.full(DEEP * n_filters, 0.05, np.float32),
         shift=-1.0,
     )
     if min(len(t) for t in train) == 0:
         model.constant = 0.0
         return model
-    picked = np.concatenate(train)
-    model.table[:, 0] = _odds([rows[d] for d in picked], labels[picked]) / 4
-    for kernel in model.kernels:
-        kernel[0, 0, :2] = 1.0
     steps = {"out": _Adam(model.out.shape, 0.02), "bias": _Adam(model.bias.shape, 0.01)} | {s: _Adam(k.shape, 0.01) for s, k in enumerate(model.kernels)}
     squares = np.full(1 << TABLE_BITS, 1e-4, np.float32)  # Adagrad of the table, a rate for each row
-    for _ in range(STEPS):
+    for _ in range(n_steps):
         batch = np.concatenate([rng.choice(t, min(BATCH // 2, len(t)), replace=False) for t in train])
-        first = np.concatenate([[0], np.cumsum(sizes[batch])])
-        hashed = np.concatenate([rows[d] for d in batch], axis=1)
-        z, x, where, features = _forward(model, hashed, first)
+        # every word is left out of a step with a chance of DROPPED, so that no cue is learnt alone
+        hashed = [rows[d][:, rng.random(sizes[d]) >= DROPPED] if sizes[d] > 8 else rows[d] for d in batch]
+        first = np.concatenate([[0], np.cumsum([max(1, h.shape[1]) for h in hashed])])
+        hashed = np.concatenate([h if h.shape[1] else rows[d][:, :1] for d, h in zip(batch, hashed, strict=True)], axis=1)
+        z, x, where, top = _forward(model, hashed, first)
         error = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[batch]) / len(batch)).astype(np.float32)
-        deep = np.einsum("n,f->nf", error, model.out[: DEEP * n_filters]).reshape(len(batch), DEEP, n_filters)
-        grads = {"out": features.T @ error + 1e-4 * model.out, "bias": np.zeros_like(model.bias)}
+        deep = np.einsum("n,f->nf", error, model.out).reshape(len(batch), DEEP, n_filters)
+        grads = {"out": top.T @ error + 1e-4 * model.out, "bias": np.zeros_like(model.bias)}
         at_rows, at_grads = [], []
         for s, span in enumerate(SPANS):
             own = slice(s * FILTERS, (s + 1) * FILTERS)
@@ -304,7 +336,7 @@ def _calibrate(model: Model, rows: list[np.ndarray], lang: np.ndarray, labels: n
         n = rows[d].shape[1]
         if n:
             acts = _activations(model, _embed(model.table, rows[d]), np.arange(n, 0, -1))
-            z[d] = (_summary(acts, np.array([0, n])) @ model.out + model.shift)[0]
+            z[d] = (_largest(acts, np.array([0, n])) @ model.out + model.shift)[0]
     model.thresholds[:] = _best_threshold(z[base], labels[base])
     for i in range(len(LANGUAGES)):
         if enough(at := base & held & (lang == i)):
@@ -318,11 +350,17 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
     order = (F.xxhash64(F.col("id"), F.lit(1)), F.col("id"))
     chosen = labels.filter("y = 1").orderBy(*order).limit(MOST_ROWS).unionAll(labels.filter("y = 0").orderBy(*order).limit(MOST_ROWS))
     docs = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter(F.octet_length("text") <= MOST_BYTES)
-    # the sample is at most 2 * MOST_ROWS narrow rows
-    sample = docs.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).toArrow().combine_chunks()
-    sample = sample.sort_by("id")
-    texts = sample["text"].combine_chunks() if len(sample) else pa.array([], pa.string())
-    return fit(texts, sample["y"].to_numpy().astype(np.int64), sample["fold"].to_numpy().astype(np.int64))
+    # the sample is at most 2 * MOST_ROWS narrow rows; of several texts of an id the one of the least hash
+    sample = docs.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min_by(F.struct("text", "y", "fold"), F.struct(F.xxhash64("text"), "text")).alias("r"))
+    made = sample.select("id", "r.*").groupBy().applyInArrow(_fit_group, "model binary").collect()
+    return pickle.loads(made[0][0]) if made else fit(pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _fit_group(sample: pa.Table) -> pa.Table:
+    """The pickled model of the whole sample, which is bounded."""
+    sample = sample.combine_chunks().sort_by("id")
+    model = fit(sample["text"].combine_chunks(), sample["y"].to_numpy().astype(np.int64), sample["fold"].to_numpy().astype(np.int64))
+    return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
 
 def _score_batches(model, text: str):
@@ -330,13 +368,17 @@ def _score_batches(model, text: str):
         m = model.value
         for batch in batches:
             for start, end, data, bounds in tk.chunks(batch, text):
-                words = tk.Words(data, bounds, tk.byte_class("alnum"), fold_latin=True)
-                lang = languages(words)
+                if end - start == 1 and len(data) > PIECE_BYTES:
+                    top, own = _long_features(m, data)
+                    lang = np.array([own])
+                else:
+                    words = tk.Words(data, bounds, tk.byte_class("alnum"), fold_latin=True)
+                    top, lang = features(m, words), languages(words)
                 if m.constant is None:
-                    z = np.clip(logits(m, words) - m.thresholds[lang], -30, 30).astype(np.float64)
+                    z = np.clip(top @ m.out + m.shift - m.thresholds[lang], -30, 30).astype(np.float64)
                     scores = 1 / (1 + np.exp(-z))
                 else:
-                    scores = np.full(words.n_docs, m.constant)
+                    scores = np.full(end - start, m.constant)
                 part = batch.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(scores), pa.array([LANGUAGES[i] for i in lang])], names=[*part.schema.names, "#score", "#lang"]

@@ -7,10 +7,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontam, embeddings, licenses, linedup, mixing, neardup, registry, secrets, sharding, toxicity, urlfilter
+from tallyline.llm import decontam, embeddings, hot, licenses, linedup, mixing, neardup, registry, secrets, sharding, toxicity, urlfilter
+from tallyline.llm import textkernel as tk
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 LATIN = LOWER | {i: i + 32 for i in range(0xC0, 0xDF) if i != 0xD7}
@@ -135,14 +137,47 @@ def test_toxicity_without_labels(spark, docs, sf):
     assert {r.score for r in toxicity.predictions(docs, none).collect()} == {0.0}
 
 
-def test_summary_is_the_pool():
+def test_largest_is_the_pool():
     rng = np.random.default_rng(0)
     acts = np.maximum(rng.normal(0, 1, (40, 24)), 0).astype(np.float32)
     acts[5] = acts[3]  # ties count each
     first = np.array([0, 1, 3, 20, 40])
-    top, _, mean = toxicity._pool(acts, first)
-    want = np.concatenate([top.reshape(4, -1), mean * toxicity.MEAN_SCALE], axis=1)
-    assert np.allclose(toxicity._summary(acts, first), want, atol=1e-5)
+    top, _ = toxicity._pool(acts, first)
+    assert np.allclose(toxicity._largest(acts, first), top.reshape(4, -1), atol=1e-5)
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    big = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{big}/documents.parquet").join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").select("doc_id", "text", "toxic").collect()
+    return [(r.text, r.toxic, zlib.crc32(str(r.doc_id).encode()) % 5) for r in rows]
+
+
+def test_toxicity_learns_by_its_steps(labelled):
+    """Without a training step the scores tell nothing; what is learnt comes from the steps alone."""
+    seen, held = ([r for r in labelled if (r[2] != 0) == fit] for fit in (True, False))
+    y = np.array([r[1] for r in held])
+
+    def recall(n_steps):
+        model = toxicity.fit(pa.array([r[0] for r in seen]), np.array([r[1] for r in seen]), np.array([r[2] for r in seen]), n_steps=n_steps)
+        words = tk.Words(*tk.texts(pa.array([r[0] for r in held])), tk.byte_class("alnum"), fold_latin=True)
+        z = toxicity.features(model, words) @ model.out + model.shift - model.thresholds[toxicity.languages(words)]
+        return ((z >= 0) & (y == 1)).sum() / y.sum(), ((z >= 0) == y).mean()
+
+    assert recall(0)[0] < 0.3
+    assert recall(toxicity.STEPS)[0] > 0.8 and recall(toxicity.STEPS)[1] > 0.95
+
+
+def test_toxicity_of_long_texts(monkeypatch, labelled):
+    """A text read in pieces has the features of the whole, whatever the cuts."""
+    model = toxicity.fit(pa.array([r[0] for r in labelled]), np.array([r[1] for r in labelled]), np.array([r[2] for r in labelled]), n_steps=5)
+    rnd = random.Random(3)
+    for size in (64, 300, 1000):
+        monkeypatch.setattr(toxicity, "PIECE_BYTES", size)
+        text = " ".join([*rnd.choice(labelled)[0].split()[:200], "x" * 700, "é" * 90, *rnd.choice(labelled)[0].split()[:200]])
+        data, bounds = tk.texts(pa.array([text]))
+        words = tk.Words(data, bounds, tk.byte_class("alnum"), fold_latin=True)
+        assert np.allclose(toxicity._long_features(model, data)[0], toxicity.features(model, words), atol=1e-5)
 
 
 # 3 mixing
@@ -551,6 +586,45 @@ def test_kept_of_repeated_and_null_rows(spark, awkward):
     null = [r for r in out if r.doc_id is None]
     assert sorted(r.component_id is None for r in null) == [False, True]
     assert {r.component_id for r in out if r.doc_id in (7, 50)} == {7}
+    text = AWKWARD[9]
+    df = documents(spark, [text, text, text, "other text of this kind", "other text of this kind", "", ""], ids=[4, None, None, None, None, None, 1])
+    kept = neardup.keep_one(df).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(4, text), (None, "other text of this kind"), (None, ""), (1, "")], key=str)
+    assert neardup.keep_one(documents(spark, [text] * 5 + ["else"], ids=[3] * 5 + [4])).count() == 2
+
+
+def test_densified_bins_take_the_first_filled():
+    """Against the definition, one attempt after the other."""
+    rng, bins = np.random.default_rng(6), 320
+    for size in (1, 2, 7, 60, 400):
+        values = np.sort(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+        sig = neardup.signatures(values, np.array([0, size]), bins)[0]
+        at = ((values >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(int)
+        own = {b: tk.mix(values[at == b].min(keepdims=True))[0] for b in set(at.tolist())}
+        for b in range(0, bins, 7):
+            attempt, source = 0, b
+            while source not in own:
+                attempt += 1
+                source = int(neardup._sources(bins, attempt)[b])
+            assert sig[b] == own[source]
+
+
+def test_tiles_of_many_small_sets(spark, monkeypatch):
+    """Blocks are bounded by their number of sets too."""
+    monkeypatch.setattr(neardup, "BLOCK_SETS", 5)
+    every = {i: f"one two three four w{i}" if i % 2 else f"one two three four five w{i // 8}" for i in range(64)}
+    out = neardup.near_duplicates(documents(spark, list(every.values())), k=3, percent=60).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == link_components(every, 3, 60)
+
+
+@pytest.mark.parametrize("least", [1, 1000])
+def test_counted_join_of_hot_keys(spark, monkeypatch, least):
+    monkeypatch.setattr(hot, "LEAST", least)
+    monkeypatch.setattr(hot, "MOST", 4)
+    rows = spark.createDataFrame([(i, i % 3 if i % 2 else 7) for i in range(60)] + [(99, None)], "id int, key int")
+    counted = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 5")
+    got = sorted(tuple(r) for r in hot.join_counted(rows, counted, "key").select("id", "key", "n").collect())
+    assert got == sorted(tuple(r) for r in rows.join(counted, "key").select("id", "key", "n").collect()) and got
 
 
 def test_empty_vectors(spark):
