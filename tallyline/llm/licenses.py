@@ -87,8 +87,9 @@ def hits(texts: DataFrame) -> DataFrame:
 
     ``around`` holds the text's words that lie on the diagonal, DRIFT more on either side; ``lead`` tells how many are before it.
     """
-    worded = texts.select("doc_id", "hash", words_of(F.col("text")).alias("words"))
-    placed = worded.select("doc_id", "hash", "words", F.posexplode(_windows(F.col("words"))).alias("position", "gram"))
+    worded = texts.select("doc_id", "hash", words_of(F.col("text")).alias("words")).withColumn("grams", _windows(F.col("words")))
+    # a plain column's elements are joined where they are made: only a hit gets a row, and with it the words around it
+    placed = worded.select("doc_id", "hash", "words", F.posexplode_outer("grams").alias("position", "gram"))
     diagonal = F.col("position") - F.col("place")
     begin = F.greatest(diagonal - DRIFT, F.lit(0))
     return (

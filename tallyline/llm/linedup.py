@@ -3,8 +3,9 @@ r"""Line dedup by a deletion-neighbourhood join.
 Lines (parts of a text between ``\n``) are compared as sequences of lower-cased
 words. The edit bound is one deleted word on each side: two lines match when
 they become equal after at most one word is taken from each, so when a word was
-put in, left out, replaced or moved. Lines of fewer than FROM_WORDS words match
-only if all their words are equal, and lines without words never.
+put in, left out, replaced or moved. A line has that bound where one word is at
+most a fifth of it (a similarity of 0.8 or more, so from FROM_WORDS words on);
+of a shorter line no word may be taken, and lines without words never match.
 
 Equal lines are one class before anything is paired, known by its earliest
 place. Of the three parts of a line, two taken words leave one untouched: the
@@ -17,8 +18,10 @@ others of that key, so no pairs within a key are made however many lines share
 it. The candidate is verified on the words themselves. A line stays if it is
 the earliest of its class and no earlier line matches.
 
-The two passes over the texts are joined by a bitmap of fixed size: the second
-reads the words of those lines whose class may have a partner.
+The two passes over the texts are joined by a bitmap of bounded size: the second
+reads the words of those lines whose class may have a partner. Where one line or
+one variant may hold a large share of all rows, the one narrow row that they
+are to meet is broadcast to them instead of shuffling them to it.
 
 Defined results: null and empty texts have no lines; places are ordered by
 doc_id (nulls last), then line number; rows that repeat an id are one document,
@@ -34,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textkernel as tk
-from .names import fresh
 from ..operators.durable import Durable
+from . import bitmaps, hot
+from . import textkernel as tk
+from .names import fresh, set_aside
 
-FROM_WORDS = 8
-MAP_BITS = 24
+#: The least similarity of lines that match, and the number of words from which a line keeps it without one of them.
+LEAST_SIMILARITY = 0.8
+FROM_WORDS = round(1 / (1 - LEAST_SIMILARITY))
 _U = np.uint64
 
 
@@ -98,10 +103,6 @@ def _parts(seq: Sequences, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         return np.stack([seq.run(a, b) ^ (longer * 3 + part).astype(np.uint64) * _U(0x9E3779B97F4A7C15) for longer, part, a, b in keys], 1).view(np.int64)
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (tk.mix(h.view(np.uint64)) >> _U(64 - MAP_BITS)).astype(np.int64)
-
-
 def _line_batches(from_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # doc_id, text
@@ -130,13 +131,12 @@ def _word_batches(bitmap):
     """(h, words) of the lines whose class is in the bitmap, once a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).view(bool)
         for batch in batches:
             for _, _, data, bounds in tk.chunks(batch):
                 _, _, first, end, words = _lines(data, bounds)
                 first, end = first[end > first], end[end > first]
                 h = Sequences(words.hash).run(first, end).view(np.int64)
-                rows = np.flatnonzero(wanted[_slot(h)])
+                rows = np.flatnonzero(bitmaps.has(bitmap.value, h))
                 rows = rows[np.unique(h[rows], return_index=True)[1]]
                 size = end[rows] - first[rows]
                 flat = np.repeat(first[rows] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(rows) else np.zeros(0, np.int64)
@@ -197,16 +197,14 @@ def repeated_lines(docs: DataFrame, from_words: int = FROM_WORDS) -> DataFrame:
     part = classes.select("h", F.explode(F.array_distinct("parts")).alias("part"))
     shared = part.groupBy("part").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo != hi").select("part")
     likely = scratch.keep(part.join(shared, "part", "left_semi").select("h").distinct())
-    # the slots of the bitmap that hold a class: at most 2**MAP_BITS bits, set where they are found
-    bits = _bitmap(likely)
-    bitmap = spark.sparkContext.broadcast(bits)
+    bitmap = spark.sparkContext.broadcast(bitmaps.build(likely, likely.count()))
     sequences = scratch.keep(
         texts.mapInArrow(_word_batches(bitmap), "h long, words array<long>")
         .join(likely, "h", "left_semi").groupBy("h").agg(F.any_value("words").alias("words"))
     )
-    placed = sequences.mapInArrow(_variant_batches, "key long, h long").distinct().join(classes.select("h", "place"), "h")
-    least = placed.groupBy("key").agg(F.min(F.struct("place", "h")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = placed.join(least.select("key", "least"), "key").filter("h != least.h").groupBy("h").agg(F.min("least").alias("least"))
+    placed = scratch.keep(sequences.mapInArrow(_variant_batches, "key long, h long").distinct().join(classes.select("h", "place"), "h"))
+    least = scratch.keep(placed.groupBy("key").agg(F.min(F.struct("place", "h")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    found = hot.join_counted(placed, least, "key").filter("h != least.h").groupBy("h").agg(F.min("least").alias("least"))
     asked = (
         found.select("h", F.col("least.h").alias("earlier"))
         .join(sequences, "h")
@@ -217,49 +215,34 @@ def repeated_lines(docs: DataFrame, from_words: int = FROM_WORDS) -> DataFrame:
     near = near.join(classes.select(F.col("h").alias("earlier"), F.col("place").alias("near_place")), "earlier").select("h", "near_place")
     # only classes that repeat or match an earlier one have lines to remove
     verdicts = scratch.keep(classes.select("h", "place", "n").join(near, "h", "left").filter("n > 1 or near_place is not null"))
-    # both sides are tables, so that a line with very many places can be split where they meet
-    removed = lines.select("doc_id", "line", "h").join(verdicts, "h").withColumn("own", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line") == F.col("place"))
+    removed = hot.join_counted(lines.select("doc_id", "line", "h"), verdicts, "h").withColumn("own", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line") == F.col("place"))
     first = F.coalesce("near_place", "place")
     result = scratch.keep(
         removed.filter("not own or near_place is not null").select(
             "doc_id", "line", F.col("own").alias("near"), first["doc_id"].alias("first_doc"), first["line"].alias("first_line")
         )
     )
-    scratch.drop(lines, classes, likely, sequences, verdicts)
+    scratch.drop(lines, classes, likely, sequences, placed, least, verdicts)
     return result
 
 
-def _bitmap(classes: DataFrame) -> bytes:
-    """A bitmap of the classes' slots; each task sends the slots of one range of it, so the driver gets at most its size."""
-
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slots = np.unique(_slot(np.asarray(batch.column(0)))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(slots >> 6), pa.array(slots & 63)], names=["word", "bit"])
-
-    found = classes.mapInArrow(words_of, "word int, bit int")
-    packed = found.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")).toArrow()
-    masks = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    masks[np.asarray(packed["word"])] = np.asarray(packed["mask"])
-    bits = (masks[:, None] >> np.arange(64)[None] & 1).astype(bool)
-    return np.packbits(bits.reshape(-1)).tobytes()
-
-
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the removed lines cut from ``text``, and ``n_lines``, ``n_removed``, ``n_near``, ``removed`` (line numbers from 0)."""
+    """``docs`` with the removed lines cut from ``text``, and ``n_lines``, ``n_removed``, ``n_near``, ``removed`` (line numbers from 0).
+
+    Columns of the input that have these names are renamed to ``<name>_input``.
+    """
+    docs = set_aside(docs, ("n_lines", "n_removed", "n_near", "removed"))
     key, d = fresh(docs, "key"), fresh(docs, "d")
     gone = (
         repeated_lines(docs, **options)
         .groupBy(F.col("doc_id").alias(d))
         .agg(F.array_sort(F.collect_set("line")).alias("removed"), F.count_distinct(F.when(F.col("near"), F.col("line"))).alias("n_near"))
     )
-    own = ("n_lines", "n_removed", "n_near", "removed")
-    docs = docs.drop(*own)
     split = F.split("text", "\n", -1)
     lines = F.when(F.col("text").isNull() | (F.col("text") == ""), F.array().cast("array<string>")).otherwise(split)
     none = F.array().cast("array<int>")
     joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(d)), "left").withColumns({"removed": F.coalesce("removed", none), key: lines})
-    left = F.filter(F.col(key), lambda x, i: ~F.array_contains("removed", i))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(key) - 1), "removed"), lambda i: F.get(F.col(key), i))
     text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(left, "\n"))
     return joined.select(
         *(text.alias(c) if c == "text" else F.col(c) for c in docs.columns),

@@ -19,10 +19,13 @@ and smallest takes the nearer whole copy. Only ``doc_id``, source and size
 move; no block, source or class is gathered whole. Everything is a DataFrame
 expression.
 
+The sources themselves, one narrow row each, are ranked and filled in one task.
+
 Defined results: a null text has no words; documents without words take
-nothing; a null source is a source of its own, last in the order; rows that
-repeat (source, doc_id) are one unit and get the same copies; an empty table
-gives no rows; hashes of ids drive all chances, so reruns agree.
+nothing; a null source is a source of its own, last in the order; a unit is what
+has one source, id and text, so rows that repeat all three get the same copies
+and rows without an id are told apart by their texts; an empty table gives no
+rows; hashes of id and text drive all chances, so reruns agree.
 """
 
 from __future__ import annotations
@@ -32,11 +35,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .names import fresh
 from ..operators.durable import Durable
+from .names import fresh, set_aside
 
 #: Any run but of the six white-space characters, named one by one: a class of single characters is a table look-up.
 WORD = r"[^\x20\x09\x0A\x0B\x0C\x0D]+"
+#: Sources whose narrow rows are broadcast; more are shuffled.
+MOST_BROADCAST = 100_000
 SETTLED = "array<struct<id:bigint,up:boolean>>"
 
 #: Folds units (w, id, x), x their copy probability: two at a time, until each but the carried one is settled.
@@ -87,6 +92,11 @@ aggregate(
 """
 
 
+def unit_of(doc_id: Column, text: Column) -> Column:
+    """A number for an id and a text, which no null leaves open."""
+    return F.xxhash64(doc_id.cast("string"), text)
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -151,15 +161,17 @@ def decide(sizes: DataFrame, goals: DataFrame, block: int, seed: int, scratch: D
     last = rest.groupBy("source").agg(F.collect_list(F.struct("w", "id", "x")).alias("units")).select("source", F.inline(finale))
     done.append(scratch.keep(last))
     ups = reduce(DataFrame.unionAll, done).select(F.col("source").alias("s"), F.col("id").alias("i"), "up")
-    same = F.col("source").eqNullSafe(F.col("s")) & F.col("id").eqNullSafe(F.col("i"))
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("id") == F.col("i"))
     return units.join(ups, same).select("source", "id", (F.col("whole") + F.col("up").cast("int")).alias("copies"))
 
 
 def _decided(df: DataFrame, names: tuple[str, str, str, str], weights: tuple[float, ...], budget: float, cap: float, block: int, seed: int, text: str, source: str, doc_id: str) -> DataFrame:
     """``df`` with four more columns: size, source_size, target and copies under the given names."""
     scratch = Durable(df.sparkSession)
-    sizes = scratch.keep(df.select(F.col(source).alias("source"), F.col(doc_id).cast("long").alias("id"), word_count(F.col(text)).alias("size")))
+    sizes = scratch.keep(df.select(F.col(source).alias("source"), unit_of(F.col(doc_id), F.col(text)).alias("id"), word_count(F.col(text)).alias("size")))
     goals = scratch.keep(targets(sizes, weights, budget, cap))
+    if goals.count() <= MOST_BROADCAST:
+        goals = F.broadcast(goals)
     copies = decide(sizes, goals, block, seed, scratch)
     size, source_size, target, n = names
     s, i, of = fresh(df, "s"), fresh(df, "i"), fresh(df, "of")
@@ -168,16 +180,19 @@ def _decided(df: DataFrame, names: tuple[str, str, str, str], weights: tuple[flo
     return (
         df.withColumn(size, word_count(F.col(text)))
         .join(goals, F.col(source).eqNullSafe(F.col(s)), "left")
-        .join(copies, F.col(source).eqNullSafe(F.col(of)) & F.col(doc_id).cast("long").eqNullSafe(F.col(i)), "left")
+        .join(copies, F.col(source).eqNullSafe(F.col(of)) & (unit_of(F.col(doc_id), F.col(text)) == F.col(i)), "left")
         .withColumn(n, F.when(F.col(size) > 0, F.coalesce(F.col(n), F.lit(0))).otherwise(F.lit(0)))
         .select(*df.columns, *names)
     )
 
 
 def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, block: int = 32, seed: int = 20, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """``df`` with ``size``, ``source_size``, ``target`` (its source's), ``copies`` and ``taken`` (copies times size), which replace columns of these names."""
+    """``df`` with ``size``, ``source_size``, ``target`` (its source's), ``copies`` and ``taken`` (copies times size).
+
+    Columns of the input that have these names are renamed to ``<name>_input``.
+    """
     own = ("size", "source_size", "target", "copies")
-    df = df.drop(*own, "taken")
+    df = set_aside(df, (*own, "taken"))
     return _decided(df, own, weights, budget, cap, block, seed, text, source, doc_id).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
 
 

@@ -9,12 +9,15 @@ sum is kept in whole 2**-20 units, so it never drifts. A candidate counts when
 a window's entropy reaches its class's threshold and no allow-list rule knows
 it. The classes are ``hex`` (16 symbols, case folded) and ``base64``.
 
-The allow list: runs of one letter case only (words), identifiers of words
-joined by separators, UUIDs, runs without both a digit and a letter, and
-strings marked as examples. Candidates that overlap a base span add nothing.
+The allow list: runs without both a digit and a letter (words of one case,
+identifiers of words joined by separators), UUIDs, and strings marked as
+examples. Candidates that overlap a base span add nothing.
 
-Everything is a DataFrame expression. Texts without a sign of a kind are never
-put through its pattern twice.
+Everything is a DataFrame expression. Places of matches are running sums of the
+pieces' lengths, made in blocks, so that the work grows in proportion to a
+text's matches; overlaps are found by running maxima over the sorted spans; and
+a long candidate is looked at in slices that overlap by a window. Texts without
+a sign of a kind are not put through its pattern.
 
 Defined results: a null or empty text has no spans; offsets are code points;
 a repeated row has its result twice; an empty table gives no rows.
@@ -23,10 +26,12 @@ a repeated row has its result twice; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.let import let
 from .names import fresh
 
 # fixed values
@@ -41,15 +46,15 @@ THRESHOLD = {"hex": 2.75, "base64": 3.75}
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 ALLOWED = (
-    r"^[a-z]+$",
-    r"^[A-Z]+$",
-    r"^[A-Z]?[a-z]+([-_/=+][A-Z]?[a-z]*)*$",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"(?i)example|sample|placeholder|xxxxx",
 )
 
 UNIT = 1 << 20
+#: Elements whose running sum grows in one array, and characters of a candidate that are looked at at once.
+BLOCK, SLICE = 64, 4096
 SPAN = "array<struct<start:bigint,kind:int,finish:bigint>>"
+VALUED = "array<struct<start:bigint,kind:int,finish:bigint,value:string>>"
 
 
 def _steps() -> str:
@@ -86,12 +91,47 @@ def _most_sum(kind: str) -> int:
     return math.floor(WINDOW * (math.log2(WINDOW) - THRESHOLD[kind]) * UNIT)
 
 
+def _reaches(candidate: str, kind: str) -> str:
+    """SQL predicate: a window reaches the class's entropy; the windows of one slice after the other, up to the first that does."""
+    slice_ = f"cast(substring(cast({candidate} as binary), at * {SLICE} + 1, {SLICE + WINDOW - 1}) as string)"
+    within = f"{_least_sum('part')} <= {_most_sum(kind)}L"
+    last = f"cast(greatest(0, (length({candidate}) - {WINDOW}) div {SLICE}) as int)"
+    return f"exists(sequence(0, {last}), at -> exists(array({slice_}), part -> {within}))"
+
+
 def suspicious(candidate: str) -> str:
     """SQL predicate: a window of the candidate string reaches its class's entropy, and the allow list doesn't know it."""
     allowed = " or ".join(f"{candidate} rlike r'{p}'" for p in ALLOWED)
     return f"""(
   {candidate} rlike '[0-9]' and {candidate} rlike '[A-Za-z]' and not ({allowed})
-  and if({candidate} rlike '^[0-9a-fA-F]+$', {_least_sum(f"lower({candidate})")} <= {_most_sum("hex")}L, {_least_sum(candidate)} <= {_most_sum("base64")}L))"""
+  and if({candidate} rlike '^[0-9a-fA-F]+$', {_reaches(f"lower({candidate})", "hex")}, {_reaches(candidate, "base64")}))"""
+
+
+def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive running results of an associative ``step`` over an array of longs, in blocks of BLOCK.
+
+    A block's array is at most BLOCK long while it grows, and that of the blocks' results is as long as there are blocks.
+    """
+    longs = F.array().cast("array<bigint>")
+
+    def grown(items: Column, first: Column) -> Column:
+        add = lambda a, x: F.array_append(a, F.when(F.size(a) > 0, step(F.element_at(a, -1), x)).otherwise(F.coalesce(step(first, x), x)))
+        return F.aggregate(items, longs, add)
+
+    def blocked(v: Column) -> Column:
+        count = F.ceil(F.size(v) / F.lit(BLOCK)).cast("int")
+        starts = F.transform(F.sequence(F.lit(1), count), lambda i: (i - 1) * BLOCK + 1)
+        none = F.lit(None).cast("bigint")
+        parts = F.transform(starts, lambda at: grown(F.slice(v, at, F.lit(BLOCK)), none))
+        return let(
+            parts,
+            lambda p: let(
+                grown(F.transform(p, lambda x: F.element_at(x, -1)), none),
+                lambda before: F.flatten(F.transform(p, lambda x, i: F.when(i == 0, x).otherwise(F.transform(x, lambda y: step(F.element_at(before, i), y))))),
+            ),
+        )
+
+    return let(values, lambda v: F.when(F.size(v) > BLOCK, blocked(v)).otherwise(grown(v, F.lit(None).cast("bigint"))))
 
 
 def _found(text: Column, pattern: str, kind: int, maybe: Column, group: int = 0) -> Column:
@@ -99,22 +139,34 @@ def _found(text: Column, pattern: str, kind: int, maybe: Column, group: int = 0)
 
     The pieces between the matches give their places.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pieces = F.split(text, pattern, -1)
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,kind:int,finish:bigint,value:string>>").alias("spans"))
 
-    def step(a: Column, p: Column) -> Column:
-        start = a["at"] + F.length(p["pieces"])
-        finish = start + F.length(p["matches"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), finish.alias("finish"), p["groups"].alias("value"))
-        return F.struct(finish.alias("at"), F.array_append(a["spans"], span).alias("spans"))
+    def spans(t: Column) -> Column:
+        matches, pieces = t["matches"], t["pieces"]
+        # the last piece follows the last match
+        sizes = F.transform(matches, lambda m, i: (F.length(F.get(pieces, i)) + F.length(m)).cast("long"))
+        value = lambda m: F.regexp_extract(m, pattern, group) if group else m
+        span = lambda m, finish: F.struct((finish - F.length(m)).alias("start"), F.lit(kind).alias("kind"), finish.alias("finish"), value(m).alias("value"))
+        return let(running(sizes, lambda a, x: a + x), lambda ends: F.transform(matches, lambda m, i: span(m, F.get(ends, i))))
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("pieces"))
+    return F.when(maybe, let(both, spans)).otherwise(F.array().cast(VALUED))
+
+
+def _free(base: Column, candidates: Column) -> Column:
+    """The candidates, in order, that no base span overlaps: neither one that begins before and ends inside, nor one that begins inside."""
+
+    def free(events: Column) -> Column:
+        none = F.lit(-1).cast("bigint")
+        is_base = lambda e: e["kind"] < KINDS.index("entropy")
+        most = lambda a, x: F.greatest(a, x)
+        reach = running(F.transform(events, lambda e: F.when(is_base(e), e["finish"]).otherwise(none)), most)
+        far = F.lit(1 << 62)
+        following = F.reverse(running(F.reverse(F.transform(events, lambda e: F.when(is_base(e), -e["start"]).otherwise(-far))), most))
+        clear = lambda e, i, r, f: ~is_base(e) & (F.get(r, i) <= e["start"]) & (-F.get(f, i) >= e["finish"])
+        return let(F.struct(reach.alias("reach"), following.alias("following")), lambda t: F.filter(events, lambda e, i: clear(e, i, t["reach"], t["following"])))
 
-    # the last piece follows the last match
-    zipped = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("pieces"), matches.alias("matches"), groups.alias("groups"))
-    spans = F.aggregate(zipped, state, step, lambda a: a["spans"])
-    none = F.array().cast("array<struct<start:bigint,kind:int,finish:bigint,value:string>>")
-    return F.when(maybe, spans).otherwise(none)
+    valued = F.transform(base, lambda s: F.struct(s["start"], s["kind"], s["finish"], F.lit("").alias("value")))
+    return F.when((F.size(base) == 0) | (F.size(candidates) == 0), candidates).otherwise(let(F.array_sort(F.concat(valued, candidates)), free))
 
 
 def find(df: DataFrame, text: str = "text") -> DataFrame:
@@ -131,9 +183,7 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumns({names[0]: assign, names[1]: access, names[2]: hexes, cand: _found(body, CANDIDATE, 3, body.rlike(CANDIDATE))})
     bare = lambda c: F.transform(c, lambda s: F.struct(s["start"], s["kind"], s["finish"]))
     out = out.withColumn("base", F.array_sort(bare(F.concat(*(F.col(n) for n in names[:3])))))
-    overlaps = lambda s: F.exists("base", lambda b: (b["start"] < s["finish"]) & (s["start"] < b["finish"]))
-    free = F.filter(F.col(cand), lambda s: ~overlaps(s))
-    out = out.withColumn(cand, free)
+    out = out.withColumn(cand, _free(F.col("base"), F.col(cand)))
     judged = F.expr(f"filter({cand}, s -> {suspicious('s.value')})")
     out = out.withColumn("spans", F.when(F.size(cand) == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", bare(judged)))))
     return out.drop(t, cand, *names)

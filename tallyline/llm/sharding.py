@@ -15,9 +15,11 @@ below a piece gives the number that its first row has in the shard.
 
 Defined results: a null text has no bytes but its 8 of overhead; null ids are
 hashed like any value; rows that repeat both text and id have one key and stay
-together; an empty table has no rows; more shards than rows leave some empty.
-Columns of the input keep their names and values, and working columns carry a
-prefix that no input column has.
+together, in the order of a hash of all their columns; an empty table has no
+rows; more shards than rows leave some empty. Columns of the input keep their
+values, and their names but for ``shard`` and ``slot``, which become
+``shard_input`` and ``slot_input``; working columns carry a prefix that no input
+column has.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .names import fresh
 from ..operators.durable import Durable
+from .names import fresh, set_aside
 
 KEY_BITS, TEXT_BITS, RADIX_BITS = 62, 38, 8
 OVERHEAD = 8
@@ -111,6 +113,7 @@ def shard(df: DataFrame, n_shards: int = 24, pieces: int = 8, tolerance: float =
     ``pieces`` ranges of each shard are sorted and numbered apart, so that no
     task handles a whole shard. ``tolerance`` is a share of one piece's bytes.
     """
+    df = set_aside(df, ("shard", "slot"))
     key, piece = fresh(df, "key"), fresh(df, "piece")
     scratch = Durable(df.sparkSession)
     size = size_of(F.col(text)) if size is None else size
@@ -121,7 +124,7 @@ def shard(df: DataFrame, n_shards: int = 24, pieces: int = 8, tolerance: float =
     start = F.array(*(F.lit(rows_below[i] - rows_below[i - i % pieces]).cast("long") for i in range(n_shards * pieces)))
     keyed = df.withColumn(key, order_key(F.col(text), F.col(doc_id)))
     keyed = keyed.withColumn(piece, _piece(F.col(key), splitters, 0, len(splitters)))
-    at = F.row_number().over(Window.partitionBy(piece).orderBy(key, doc_id))
+    at = F.row_number().over(Window.partitionBy(piece).orderBy(key, doc_id, F.xxhash64(*df.columns)))
     return (
         keyed.withColumn("slot", at.cast("long") - 1 + F.element_at(start, F.col(piece) + 1))
         .withColumn("shard", F.floor(F.col(piece) / F.lit(pieces)).cast("int"))

@@ -9,8 +9,11 @@ entries the longest domain wins, and at equal length an allowing list.
 
 A capture is reduced to its host and date before the join, so that a host with
 a third of all captures is judged once a day; the host's domains (bounded by
-its labels) are then the join keys. The side of the entries is broadcast only
-below MOST_BROADCAST entries, by count; beyond it the join shuffles.
+its labels) are then the join keys. The entries, and the verdicts that go back
+to the captures, are broadcast only below MOST_BROADCAST rows, by count. Beyond
+it the entries' join shuffles, and the captures of a host and day are dealt over
+SALTS tasks. ENTRIES is an example of a list's history: any table of its columns
+will do.
 
 Defined results: a null URL or one without a host is judged ``none``; a null
 date has no active entries; entries without a domain or date are void; of
@@ -23,7 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_BROADCAST = 100_000
+from ..operators.durable import Durable
+
+MOST_BROADCAST, SALTS = 100_000, 64
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
 
 # fixed values: (list, verdict, domain, date, on the list from then)
@@ -89,8 +94,14 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
         F.struct("verdict", "list", "domain", "valid_from"),
         F.struct(F.length("domain"), (F.col("verdict") == "allow"), F.col("list")),
     )
-    verdicts = active.groupBy("host", "fetched_on").agg(best.alias("best"))
-    return hosted.join(verdicts, ["host", "fetched_on"], "left").select(
+    verdicts = Durable(captures.sparkSession).keep(active.groupBy("host", "fetched_on").agg(best.alias("best")))
+    if verdicts.count() <= MOST_BROADCAST:
+        judged = hosted.join(F.broadcast(verdicts), ["host", "fetched_on"], "left")
+    else:
+        salted = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = hosted.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+        judged = dealt.join(salted, ["host", "fetched_on", "salt"], "left")
+    return judged.select(
         "page_id",
         "host",
         "fetched_on",
