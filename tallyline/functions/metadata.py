@@ -17,7 +17,15 @@ ISSUERS = {
 }
 WHOLE_ONLY = ("max", "cal")
 CARD_LABELS = ("credit card number", "card number", "card no", "מספר כרטיס")
-SUFFIX_LABELS = ("card ending with digits", "card ending with", "card ending in", "כרטיס שמסתיים בספרות", "כרטיס שמסתיים ב")
+SUFFIX_LABELS = (
+    "card ending in",
+    "card ending with",
+    "card ending with digits",
+    "כרטיס שמסתיים ב",
+    "כרטיס שמסתיים בספרות",
+    "לכרטיס שמסתיים ב",
+    "הודעה לכרטיס המסתיים ב",
+)
 
 
 def statement_date(value: Column) -> Column:

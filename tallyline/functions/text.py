@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .let import let
 
@@ -25,26 +22,38 @@ CATEGORIES = (
 )
 
 
-@F.pandas_udf(StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    """Canonical composition, which Spark has no function for; one Arrow batch at a time."""
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+#: What case folding does to a lower-case character beyond lower case: one character for another, or several for one.
+FOLDED = {c: c.casefold() for c in map(chr, range(0x80, 0x30000)) if c.lower() == c != c.casefold()}
+ONE_FOLDED = {c: f for c, f in FOLDED.items() if len(f) == 1}
+MORE_FOLDED = {c: f for c, f in FOLDED.items() if len(f) > 1}
 
 
-def normalize_text(text: Column, compose: bool = False) -> Column:
-    """Without format controls, zero-width spaces as spaces, white space runs as one space, trimmed.
+def nfc(text: Column) -> Column:
+    """Canonical composition, by the Unicode library that Spark itself carries; only texts beyond U+02FF can need it."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(text.rlike(r"[^\x00-\x{2FF}]"), composed).otherwise(text)
 
-    ``compose`` adds NFC, the one step outside the JVM.
-    """
-    text = nfc(text) if compose else text
-    shown = F.replace(F.regexp_replace(text, FORMAT_CONTROLS, ""), F.lit("\u200b"), F.lit(" "))
+
+def normalize_text(text: Column) -> Column:
+    """Composed, without format controls, zero-width spaces as spaces, white space runs as one space, trimmed."""
+    shown = F.replace(F.regexp_replace(nfc(text), FORMAT_CONTROLS, ""), F.lit("\u200b"), F.lit(" "))
     return F.trim(F.regexp_replace(shown, r"(?U)[\s\x1C-\x1F]+", " "))
 
 
+def casefold(text: Column) -> Column:
+    """Full case folding: lower case, and the characters of FOLDED where a text has any."""
+
+    def more(low: Column) -> Column:
+        pairs = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in MORE_FOLDED.items()))
+        folded = F.aggregate(pairs, F.translate(low, "".join(ONE_FOLDED), "".join(ONE_FOLDED.values())), lambda t, p: F.replace(t, p["c"], p["f"]))
+        return F.when(low.rlike(f"[{''.join(FOLDED)}]"), folded).otherwise(low)
+
+    return let(F.lower(text), more)
+
+
 def phrase_tokens(text: Column, drop_acronym_quotes: bool = False) -> Column:
     """Case-folded runs of letters and digits, joiners dropped."""
-    folded = F.replace(F.lower(normalize_text(text)), F.lit("ß"), F.lit("ss"))
-    folded = F.regexp_replace(folded, "[\u200c\u200d]", "")
+    folded = F.regexp_replace(casefold(normalize_text(text)), "[\u200c\u200d]", "")
     if drop_acronym_quotes:
         folded = F.regexp_replace(folded, rf"(?<=\p{{L}}){ACRONYM_QUOTES}(?=\p{{L}})", "")
     return F.filter(F.split(folded, r"[^\p{L}\p{N}]+", -1), lambda t: t != "")

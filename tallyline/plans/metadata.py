@@ -71,8 +71,8 @@ def paths_and_merchants(t: Tables) -> DataFrame:
 @query("""
 WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
 SELECT l_orderkey, string_agg(DISTINCT CAST(l_linenumber % 2 + 1 AS VARCHAR), ';' ORDER BY CAST(l_linenumber % 2 + 1 AS VARCHAR)) AS pages,
-       string_agg((l_linenumber % 2 + 1) || ':' || (l_linenumber / 2.0)::VARCHAR || ',0,' || (l_linenumber + 10) || ',0.25', ';' ORDER BY l_linenumber % 2, l_linenumber) AS boxes
-FROM (SELECT l_orderkey, l_linenumber FROM l WHERE l_linenumber % 2 = 1) GROUP BY l_orderkey
+       string_agg((l_linenumber % 2 + 1) || ':' || CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_linenumber // 2 AS VARCHAR) ELSE CAST(l_linenumber / 2.0 AS VARCHAR) END || ',0,' || (l_linenumber + 10) || ',0.25', ';' ORDER BY l_linenumber % 2, l_linenumber) AS boxes
+FROM l GROUP BY l_orderkey
 """)
 def provenance_strings(t: Tables) -> DataFrame:
     """SNK5."""

@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import random
+import statistics
 from decimal import Decimal
 
 import pytest
@@ -79,13 +80,45 @@ def test_greedy_dedup():
     assert dedup.survivors(words) == [1, 2, 3]
 
 
+def lines_of(boxes, texts):
+    """line_numbers of words in any order."""
+    order = sorted(range(len(boxes)), key=lambda i: ((boxes[i][1] + boxes[i][3]) / 2, boxes[i][0], texts[i]))
+    numbers, typical = layout.line_numbers(*zip(*(((b[1] + b[3]) / 2, b[3] - b[1], b[1]) for b in (boxes[i] for i in order)), strict=True))
+    out, heights = dict(zip(order, numbers, strict=True)), dict(zip(order, typical, strict=True))
+    return [out[i] for i in range(len(boxes))], [heights[i] for i in range(len(boxes))]
+
+
 def test_lines_are_invariant():
     boxes = [(0, 0, 10, 10), (12, 1, 30, 11), (0, 20, 10, 30), (12, 22, 20, 30), (0, 0, 4, 40)]
     texts = list("abcde")
-    base = layout.line_numbers(boxes, texts)
+    base, heights = lines_of(boxes, texts)
     assert base[0] == base[1] and base[2] == base[3] and base[0] < base[2] and base[4] not in base[:4]
+    assert heights == [10, 10, 9, 9, 40]
     moved = [(3 * x0 + 7, 3 * y0 + 7, 3 * x1 + 7, 3 * y1 + 7) for x0, y0, x1, y1 in boxes]
-    assert layout.line_numbers(moved, texts) == base
+    assert lines_of(moved, texts)[0] == base
+
+
+def test_lines_by_the_rule():
+    """Every line of the page is asked, against the sweep that asks those within a word's reach."""
+    rnd = random.Random(17)
+    for _ in range(200):
+        words = sorted((rnd.choice((rnd.uniform(0, 60), rnd.randrange(12) * 5)), rnd.choice((4, 5, 8, 10, 20, 0, 13)), rnd.uniform(0, 50)) for _ in range(rnd.randrange(1, 25)))
+        groups, want = [], []
+        for center, height, _ in words:
+            ranked = []
+            for k, group in enumerate(groups):
+                typical, middle = statistics.median(h for _, h in group), statistics.median(c for c, _ in group)
+                small, large = sorted((height, typical))
+                if small > 0 and large <= 2.5 * small and abs(center - middle) <= 0.6 * large:
+                    ranked.append((abs(center - middle), k))
+            if ranked:
+                groups[min(ranked)[1]].append((center, height))
+                want.append(min(ranked)[1])
+            else:
+                groups.append([(center, height)])
+                want.append(len(groups) - 1)
+        got, _ = layout.line_numbers([c for c, _, _ in words], [h for _, h, _ in words], list(range(len(words))))
+        assert got == want  # tops in the order of the words, so lines are numbered as they begin
 
 
 def test_rows_confidence(spark):
@@ -257,6 +290,8 @@ def test_reading_order(spark):
 def test_column_clusters():
     rows = [[(0, 10, "a"), (50, 70, "b")], [(1, 9, "c"), (52, 68, "d"), (90, 99, "e")], [(49, 71, "f")]]
     assert evidence.column_clusters(rows, 100.0) == [[0, 1], [0, 1, 2], [1]]
+    # the earlier of two columns that are equally near, whatever the order of the rest
+    assert evidence.column_clusters([[(0, 10, "a"), (20, 30, "b")], [(10, 20, "c")]], 30.0) == [[0, 2], [1]]
     # two cells of one row never share a column
     assert evidence.column_clusters([[(0, 10, "a"), (1, 11, "b")]], 100.0) == [[0, 1]]
 
