@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,10 +26,30 @@ def folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Give back what finished jobs have left: broadcasts and shuffle files that nothing refers to any more, and memory of the
+    driver that its heap and its C allocator hold on to.
+
+    Spark's cleaner acts when the driver's JVM collects, which it may not do for long while the executors fill up.
+    """
+    jvm = spark._jvm
+    jvm.java.lang.System.gc()
+    # what "jcmd System.trim_native_heap" does, where the JVM has it; the bean's class is not public, its interface is
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    beans = {m.getName(): m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods()}
+    call = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+    call[0], call[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        beans["invoke"].invoke(server, call)
+    except Py4JJavaError:  # not in every JVM
+        pass
+
+
 class Durable:
     """Parquet tables under one folder of their own in the shared folder."""
 
     def __init__(self, spark: SparkSession):
+        release(spark)
         self.spark = spark
         self.root = f"{folder(spark)}/tallyline-{uuid.uuid4().hex}"
         self.made = 0
@@ -49,6 +70,9 @@ class Durable:
         out._durable_path = path
         return out
 
+    def release(self) -> None:
+        release(self.spark)
+
     def drop(self, *frames: DataFrame | None) -> None:
         """Delete tables that no later step reads."""
         for df in frames:
