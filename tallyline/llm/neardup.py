@@ -317,6 +317,7 @@ def _judged(docs: DataFrame, k: int, percent: int, bands: int) -> DataFrame:
     sized = members.filter((F.col("id") != F.col("centre.id")) & (100 * F.least("n", "centre.n") >= percent * F.greatest("n", "centre.n")))
     pairs = sized.select(F.col("id").alias("a"), F.col("centre.id").alias("b")).distinct()
     labels = components(_confirm(pairs, sets, percent), scratch)
+    scratch.release()
     labelled = members.filter("members > 2").select("key", "id", "n").join(labels.withColumnRenamed("node", "id"), "id", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "id"))
     news = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")

@@ -48,6 +48,7 @@ FOLDS = 5
 MOST_ROWS, MOST_BYTES = 2000, 1 << 15
 STEPS, BATCH = 240, 64
 NOISE, BIAS, DROPPED = 0.001, 0.0, 0.3
+START = np.float32(1e-4)
 SCORED_WORDS = 1 << 16
 PIECE_BYTES = 1 << 18
 
@@ -75,6 +76,17 @@ class Model:
     thresholds: np.ndarray = field(default_factory=lambda: np.zeros(len(LANGUAGES), np.float32))
     constant: float | None = None
 
+    def __getstate__(self) -> dict:
+        """Only the rows of the table that are not zero travel."""
+        rows = np.flatnonzero(self.table.any(1))
+        return self.__dict__ | {"table": (self.table.shape, rows, self.table[rows])}
+
+    def __setstate__(self, state: dict) -> None:
+        shape, rows, values = state["table"]
+        table = np.zeros(shape, np.float32)
+        table[rows] = values
+        self.__dict__ |= state | {"table": table}
+
 
 def buckets(words: tk.Words) -> np.ndarray:
     """(features, words) rows of the hashed table."""
@@ -278,7 +290,7 @@ def fit(texts: pa.Array, labels: np.ndarray, folds: np.ndarray, seed: int = 7, n
         model.constant = 0.0
         return model
     steps = {"out": _Adam(model.out.shape, 0.02), "bias": _Adam(model.bias.shape, 0.01)} | {s: _Adam(k.shape, 0.01) for s, k in enumerate(model.kernels)}
-    squares = np.full(1 << TABLE_BITS, 1e-4, np.float32)  # Adagrad of the table, a rate for each row
+    squares = np.full(1 << TABLE_BITS, START, np.float32)  # Adagrad of the table, a rate for each row
     for _ in range(n_steps):
         batch = np.concatenate([rng.choice(t, min(BATCH // 2, len(t)), replace=False) for t in train])
         # every word is left out of a step with a chance of DROPPED, so that no cue is learnt alone
@@ -313,6 +325,7 @@ def fit(texts: pa.Array, labels: np.ndarray, folds: np.ndarray, seed: int = 7, n
             np.add.at(grad, inverse, g)
             squares[touched] += (grad * grad).mean(1)
             model.table[touched] -= 0.01 * grad / np.sqrt(squares[touched])[:, None]
+    model.table[squares == START] = 0  # what no step has moved has no say
     _calibrate(model, rows, np.concatenate(lang), labels, folds)
     return model
 
