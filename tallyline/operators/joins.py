@@ -6,7 +6,7 @@ a hash or merge join with residual conditions, never as a nested loop.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +28,23 @@ def nearest(items: DataFrame, owners: DataFrame, on: Sequence[str], item_id: Seq
     return pairs.withColumn("__place", place).filter("__place = 1").drop("__place")
 
 
+def nearest_value(items: DataFrame, owners: DataFrame, on: Sequence[str], item_id: str, owner_id: str, value: str) -> DataFrame:
+    """(on, item_id, owner_id): the owner of the nearest value, the smaller id of equally near ones (J6 on one axis).
+
+    One sorted pass over items and owners together: the nearest is the last value up to the item's or the first beyond
+    it, so no pairs are made, however many owners a key has.
+    """
+    own = owners.groupBy(*on, value).agg(F.min(owner_id).alias("__own"))
+    both = items.select(*on, F.col(value).alias("__v"), F.col(item_id).alias("__item"), F.lit(None).cast(own.schema["__own"].dataType).alias("__own"))
+    both = both.unionByName(own.select(*on, F.col(value).alias("__v"), F.lit(None).cast(items.schema[item_id].dataType).alias("__item"), "__own"))
+    w = Window.partitionBy(*on).orderBy("__v", F.col("__own").isNull())
+    found = F.when(F.col("__own").isNotNull(), F.struct("__v", "__own"))
+    sides = both.withColumn("__low", F.last(found, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__high", F.first(found, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    off = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col(f"{side}.__v") - F.col("__v")).alias("off"), F.col(f"{side}.__own").alias("own")))
+    near = sides.filter(F.col("__own").isNull()).withColumn("__near", F.least(off("__low"), off("__high"))).filter("__near is not null")
+    return near.select(*on, F.col("__item").alias(item_id), F.col("__near.own").alias(owner_id))
+
+
 def unique_best(pairs: DataFrame, item_id: Sequence[str], score: Column) -> DataFrame:
     """The pair of each item with the strictly largest score; tied items have none."""
     own = Window.partitionBy(*item_id)
@@ -91,17 +108,6 @@ def pareto_front(df: DataFrame, group: Sequence[str], item_id: str, up: Sequence
     return scored.join(other, same & as_good & better_one, "left_anti").select(*df.columns)
 
 
-def vocabulary_scores(texts: DataFrame, vocabulary: DataFrame, text_id: Sequence[str], score: Callable[[Column, Column], Column], above: float | None = None) -> DataFrame:
-    """Best score of each text against each role of a closed vocabulary (role, term).
-
-    The vocabulary is a constant of a few hundred terms, so it is broadcast.
-    With ``above``, pairs that score no more are dropped where they are made.
-    """
-    pairs = texts.join(F.broadcast(vocabulary), F.lit(True), "inner").select(*text_id, "role", score(F.col("tokens"), F.col("term")).alias("score"))
-    pairs = pairs if above is None else pairs.filter(F.col("score") > above)
-    return pairs.groupBy(*text_id, "role").agg(F.max("score").alias("score"))
-
-
 def fuse_words(primary: DataFrame, supplemental: DataFrame, page: Sequence[str]) -> DataFrame:
     """Primary words (page, ordinal, text, box, confidence), each replaced by the best overlapping supplemental word.
 

@@ -25,14 +25,14 @@ def connected_documents(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT a.p_partkey AS left_id, b.p_partkey AS right_id FROM part a JOIN part b
-ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey
+WITH r AS (SELECT min(p_partkey) OVER (PARTITION BY p_brand, p_type, p_size) AS left_id, p_partkey AS right_id FROM part)
+SELECT left_id, right_id FROM r WHERE left_id < right_id
 """)
 def fingerprint_pairs(t: Tables) -> DataFrame:
-    """Pairs of equal structure, the smaller id on the left."""
+    """Parts of equal structure, each with the smallest id of its structure on the left, from which all pairs follow."""
     printed = t.part.select("p_partkey", digests.fingerprint(F.col("p_brand"), F.col("p_type"), F.col("p_size")).alias("fp"))
-    other = printed.select(F.col("p_partkey").alias("right_id"), "fp")
-    return printed.join(other, "fp").filter("p_partkey < right_id").select(F.col("p_partkey").alias("left_id"), "right_id")
+    first = printed.groupBy("fp").agg(F.min("p_partkey").alias("left_id"))
+    return printed.join(first, "fp").filter("left_id < p_partkey").select("left_id", F.col("p_partkey").alias("right_id"))
 
 
 @query("""

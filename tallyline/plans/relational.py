@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text
-from ..operators import dedup, joins, windows
+from ..operators import dedup, headers, joins, windows
 from .base import Tables, query
 
 BOXES = """
@@ -81,15 +81,16 @@ def header_bands(t: Tables) -> DataFrame:
 
 @query("""
 WITH p AS (
-  SELECT s.s_suppkey, c.c_custkey, abs(s.s_acctbal - c.c_acctbal) AS d FROM supplier s JOIN customer c ON s.s_nationkey = c.c_nationkey),
+  SELECT s.s_suppkey, c.c_custkey, abs(CAST(s.s_acctbal AS DECIMAL(18,2)) - CAST(c.c_acctbal AS DECIMAL(18,2))) AS d FROM supplier s JOIN customer c ON s.s_nationkey = c.c_nationkey),
 r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY d, c_custkey) AS k FROM p)
 SELECT s_suppkey, c_custkey FROM r WHERE k = 1
 """)
 def nearest_owner(t: Tables) -> DataFrame:
     """The customer of a supplier's nation with the nearest balance."""
-    s = t.supplier.select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal")
-    c = t.customer.select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal")
-    return joins.nearest(s, c, ["nation"], ["s_suppkey"], F.abs(F.col("s_acctbal") - F.col("c_acctbal")), [F.col("c_custkey")]).select("s_suppkey", "c_custkey")
+    exact = lambda c: F.col(c).cast("decimal(18,2)").alias("balance")
+    s = t.supplier.select(F.col("s_nationkey").alias("nation"), "s_suppkey", exact("s_acctbal"))
+    c = t.customer.select(F.col("c_nationkey").alias("nation"), "c_custkey", exact("c_acctbal"))
+    return joins.nearest_value(s, c, ["nation"], "s_suppkey", "c_custkey", "balance").select("s_suppkey", "c_custkey")
 
 
 @query("""
@@ -170,30 +171,31 @@ def corroborated_values(t: Tables) -> DataFrame:
     return t.part.join(notes, (F.col("l_partkey") == F.col("p_partkey")) & (F.col("l_quantity") == F.col("p_size")), "left_semi").select("p_partkey")
 
 
-VOCABULARY = (("DATE", "date"), ("DATE", "ship date"), ("AMOUNT", "amount"), ("AMOUNT", "total price"), ("DESCRIPTION", "merchant name"), ("STATUS", "order status"), ("AMOUNT", "price"))
-HEADERS = ("order status", "Total Price", "ship date of order", "the price", "merchant", "Date", "unknown thing")
-
-
-@query(r"""
-WITH v(role, term) AS (VALUES ('DATE', 'date'), ('DATE', 'ship date'), ('AMOUNT', 'amount'), ('AMOUNT', 'total price'), ('DESCRIPTION', 'merchant name'), ('STATUS', 'order status'), ('AMOUNT', 'price')),
-h(i, header) AS (VALUES (0, 'order status'), (1, 'Total Price'), (2, 'ship date of order'), (3, 'the price'), (4, 'merchant'), (5, 'Date'), (6, 'unknown thing')),
-s AS (
-  SELECT e.event_id, v.role, max(CASE WHEN lower(h.header) = v.term THEN 1.0 WHEN contains(' ' || lower(h.header) || ' ', ' ' || v.term || ' ') THEN 0.82 ELSE 0.0 END) AS score
-  FROM events e JOIN h ON h.i = e.event_id % 7, v GROUP BY e.event_id, v.role),
-r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, role) AS k, lead(score) OVER (PARTITION BY event_id ORDER BY score DESC, role) AS next FROM s)
-SELECT event_id, CASE WHEN score >= 0.65 AND score - coalesce(next, 0) >= 0.13 THEN role ELSE 'UNKNOWN' END AS role, score::DOUBLE AS score FROM r WHERE k = 1
+HEADERS = (
+    "Transaction date", "the posting date of it", "Amount charged", "amount due", "Original Amount / currency", "merchant", "סכוםהעסקה", "תאריך", "סכום לחיוב בש״ח", "שם בית Qxz", "exchange-rate", "unknown thing",
+    "Date of conversion", "123", "billing currency code", "details, city", "Installments", "commission amount", "עסק",
+)
+_TERMS = ", ".join(f"('{role}', '{term}')" for role, terms in headers.TERMS.items() for term in terms)
+_HEADERS = ", ".join(f"({i}, '{h}')" for i, h in enumerate(HEADERS))
+
+
+@query(rf"""
+WITH v(role, term) AS (VALUES {_TERMS}), h(i, header) AS (VALUES {_HEADERS}),
+w AS (SELECT i, trim(regexp_replace(lower(header), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS line FROM h),
+m AS (
+  SELECT w.i, v.role, max(CASE WHEN line = term OR (regexp_matches(term, '\p{{Hebrew}}') AND replace(line, ' ', '') = replace(term, ' ', '')) THEN 1.0
+    WHEN regexp_matches(term, '\p{{Hebrew}}') AND (contains(replace(line, ' ', ''), replace(term, ' ', ''))
+      OR (len(string_split(term, ' ')) >= 3 AND len(string_split(line, ' ')) = len(string_split(term, ' ')) AND string_split(line, ' ')[:-2] = string_split(term, ' ')[:-2] AND regexp_matches(string_split(line, ' ')[-1], '^[a-z]+$'))) THEN 0.82
+    WHEN contains(' ' || line || ' ', ' ' || term || ' ') THEN 0.82 ELSE 0.0 END) AS score
+  FROM w, v GROUP BY ALL),
+r AS (SELECT *, row_number() OVER o AS k, lead(score) OVER o AS next, count(*) FILTER (WHERE score = 1) OVER (PARTITION BY i) AS exact FROM m WINDOW o AS (PARTITION BY i ORDER BY score DESC, role))
+SELECT event_id, CASE WHEN exact = 1 OR (score >= 0.65 AND score - next >= 0.13) THEN role ELSE 'UNKNOWN' END AS role, score::DOUBLE AS score FROM events JOIN r ON r.i = event_id % {len(HEADERS)} WHERE k = 1
 """)
 def header_roles(t: Tables) -> DataFrame:
-    """A header's role by vocabulary score, accepted from .65 with a lead of .13."""
+    """A header's role by its score against the vocabulary of all roles, accepted from .65 with a lead of .13."""
     header = F.element_at(F.array(*(F.lit(h) for h in HEADERS)), (F.pmod("event_id", F.lit(len(HEADERS))) + 1).cast("int"))
-    texts = t.events.select("event_id", text.phrase_tokens(header).alias("tokens"))
-    vocabulary = t.spark.createDataFrame(list(VOCABULARY), "role string, term string")
-    score = lambda tokens, term: F.when(F.array_join(tokens, " ") == term, 1.0).when(text.padded(tokens).contains(F.concat(F.lit(" "), term, F.lit(" "))), 0.82).otherwise(0.0)
-    scores = joins.vocabulary_scores(texts, vocabulary, ["event_id"], score)
-    w = Window.partitionBy("event_id").orderBy(F.desc("score"), "role")
-    ranked = scores.withColumn("k", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).filter("k = 1")
-    sure = (F.col("score") >= 0.65) & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= 0.13)
-    return ranked.select("event_id", F.when(sure, F.col("role")).otherwise("UNKNOWN").alias("role"), "score")
+    scored = t.events.select("event_id", headers.role_scores(header).alias("scores"))
+    return scored.select("event_id", headers.role(F.col("scores")).alias("role"), F.coalesce(F.get("scores", F.lit(0))["score"], F.lit(0.0)).alias("score"))
 
 
 @query("""
