@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, evaluation, evidence, grammar, layout, metadata, reconciliation, relational, structure  # noqa: F401  declare their queries
+from . import corpus, evaluation, evidence, fields, grammar, layout, metadata, reconciliation, relational, structure  # noqa: F401  declare their queries
 from .base import QUERIES, Tables
 
 
