@@ -7,9 +7,10 @@ bitmap of bounded size made from the benchmark's, so that only candidates are
 shuffled; the joins themselves are exact and take a benchmark of any size.
 
 Which pairs of text and item are tiled: a text that holds enough of an item has
-at least a certain number of its seeds, so it has one of the others than the
-most frequent that many less one. Only those seeds, each item's rarest, make
-pairs; a seed that most texts have makes none where an item has rarer ones.
+at least a certain number of its seeds' places. Half of that number, each item's
+most frequent places, are not looked up; of the others a text has to have the
+other half. So a seed that most texts have makes no pairs where an item has
+rarer ones, and a pair costs no more than counts until it has enough.
 The seeds of a pair are brought together as runs along a diagonal, whatever
 their number, and a pair whose runs are too short in sum is dropped.
 
@@ -133,17 +134,20 @@ def _tile_batches(coverage: float):
 def _pairs(seen: DataFrame, grams: DataFrame, seed: int, coverage: float) -> DataFrame:
     """(doc_id, hash, item_id) of texts that may hold ``coverage`` of an item.
 
-    Marked words of that share take at least a third of their number (one in ``seed``) as seeds, so a text that holds them
-    has one of the item's seeds outside its most frequent ones, one fewer than that number.
+    Marked words of that share take at least a third of their number (one in ``seed``) as places of seeds. Of those places
+    at least half are outside the item's most frequent ones, half as many: a pair has to have that half among the others.
     """
     frequency = seen.groupBy("gram").agg(F.count(F.lit(1)).alias("frequency"))
     item = Window.partitionBy("item_id")
     least = F.greatest(F.lit(1), F.ceil(F.lit(coverage) * F.col("item_words") / F.col("span")))
+    left_out = F.floor(least / 2)
     ranked = grams.join(frequency, "gram", "left").withColumns(
         {"rank": F.row_number().over(item.orderBy(F.coalesce("frequency", F.lit(0)), "place")), "places": F.count(F.lit(1)).over(item)}
     )
-    probes = ranked.filter(F.col("frequency").isNotNull() & (F.col("rank") <= F.col("places") - least + 1)).select("gram", "item_id").distinct()
-    return seen.join(probes, "gram").select("doc_id", "hash", "item_id").distinct()
+    rare = ranked.filter(F.col("frequency").isNotNull() & (F.col("rank") <= F.col("places") - left_out))
+    probes = rare.groupBy("gram", "item_id").agg(F.count(F.lit(1)).alias("places"), F.max(least - left_out).alias("least"))
+    met = seen.select("doc_id", "hash", "gram").distinct().join(probes, "gram").groupBy("doc_id", "hash", "item_id")
+    return met.agg(F.sum("places").alias("places"), F.max("least").alias("least")).filter("places >= least").select("doc_id", "hash", "item_id")
 
 
 def _runs(seeds: DataFrame) -> DataFrame:
