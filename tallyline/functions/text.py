@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +28,17 @@ ONE_FOLDED = {c: f for c, f in FOLDED.items() if len(f) == 1}
 MORE_FOLDED = {c: f for c, f in FOLDED.items() if len(f) > 1}
 
 
+def _ranges(characters: Iterable[str]) -> str:
+    """The inside of a regular expression's class, runs of characters as ranges."""
+    points, out = sorted(map(ord, characters)), ""
+    for i, c in enumerate(points):
+        if i == 0 or c != points[i - 1] + 1:
+            out += f"\\x{{{c:X}}}"
+        elif i + 1 == len(points) or points[i + 1] != c + 1:
+            out += f"-\\x{{{c:X}}}"
+    return out
+
+
 def nfc(text: Column) -> Column:
     """Canonical composition, by the Unicode library that Spark itself carries; only texts beyond U+02FF can need it."""
     composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
@@ -46,9 +57,9 @@ def casefold(text: Column) -> Column:
     def more(low: Column) -> Column:
         pairs = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in MORE_FOLDED.items()))
         folded = F.aggregate(pairs, F.translate(low, "".join(ONE_FOLDED), "".join(ONE_FOLDED.values())), lambda t, p: F.replace(t, p["c"], p["f"]))
-        return F.when(low.rlike(f"[{''.join(FOLDED)}]"), folded).otherwise(low)
+        return F.when(low.rlike(f"[{_ranges(FOLDED)}]"), folded).otherwise(low)
 
-    return let(F.lower(text), more)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), let(F.lower(text), more)).otherwise(F.lower(text))
 
 
 def phrase_tokens(text: Column, drop_acronym_quotes: bool = False) -> Column:

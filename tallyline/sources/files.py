@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,46 +97,74 @@ def csv_bytes(lines: Iterable[str], header: Sequence[str] = CSV_COLUMNS) -> Iter
         yield line.encode() + b"\r\n"
 
 
-def publish(path: str, chunks: Iterable[bytes]) -> None:
-    """Write beside the target and rename, so that a reader sees the old file or the whole new one (SNK8)."""
-    import os
-    import tempfile
+def _store(spark: SparkSession, path: str):
+    """The file system that a path names, the path, and its context for renames that replace."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+    files = target.getFileSystem(conf)
+    return files, target, jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.makeQualified(target).toUri(), conf)
 
-    folder = os.path.dirname(path) or "."
-    handle, beside = tempfile.mkstemp(dir=folder)
+
+def _written(spark: SparkSession, path: str, chunks: Iterable[bytes]) -> str:
+    """A file beside ``path`` with the chunks; nothing stays of one that breaks off."""
+    beside = f"{path}.{uuid.uuid4().hex}"
+    files, target, _ = _store(spark, beside)
+    out = files.create(target, False)
     try:
-        with os.fdopen(handle, "wb") as out:
-            for chunk in chunks:
-                out.write(chunk)
-            out.flush()
-            os.fsync(out.fileno())
-        os.replace(beside, path)
+        for chunk in chunks:
+            out.write(bytearray(chunk))
+        out.close()
     except BaseException:
-        os.unlink(beside)
+        out.close()
+        files.delete(target, False)
         raise
+    return beside
+
+
+def _replace(spark: SparkSession, beside: str, path: str) -> None:
+    files, target, context = _store(spark, path)
+    option = spark._jvm.org.apache.hadoop.fs.Options
+    how = spark.sparkContext._gateway.new_array(option.Rename, 1)
+    how[0] = option.Rename.OVERWRITE
+    source = files.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(beside))
+    context.rename(source, files.makeQualified(target), how)
+
 
+def publish(spark: SparkSession, path: str, chunks: Iterable[bytes]) -> None:
+    """Write beside the target, in whatever store it is, and rename, so that a reader sees the old file or the whole new one (SNK8)."""
+    _replace(spark, _written(spark, path, chunks), path)
 
-def publish_pair(first: tuple[str, Iterable[bytes]], second: tuple[str, Iterable[bytes]]) -> None:
-    """Two files that change together: if the second fails, the first gets its old bytes back (SNK8)."""
-    import os
-    import shutil
 
-    path = first[0]
-    backup = f"{path}.before"
-    had = os.path.exists(path)
+def publish_pair(spark: SparkSession, first: tuple[str, Iterable[bytes]], second: tuple[str, Iterable[bytes]]) -> None:
+    """Two files that change together: both are written whole before the first is replaced, and if the second then can't be, the
+    first gets its old bytes back (SNK8)."""
+    beside = _written(spark, *first)
+    files, target, _ = _store(spark, first[0])
+    drop = lambda path: files.delete(spark._jvm.org.apache.hadoop.fs.Path(path), False)
+    try:
+        other = _written(spark, *second)
+    except BaseException:
+        drop(beside)
+        raise
+    before = f"{first[0]}.{uuid.uuid4().hex}"
+    had = files.exists(target)
     if had:
-        shutil.copy2(path, backup)
+        copy = spark._jvm.org.apache.hadoop.fs
+        copy.FileUtil.copy(files, target, files, copy.Path(before), False, spark._jsc.hadoopConfiguration())
     try:
-        publish(*first)
-        publish(*second)
+        _replace(spark, beside, first[0])
+        _replace(spark, other, second[0])
     except BaseException:
+        drop(other)
+        drop(beside)
         if had:
-            os.replace(backup, path)
-        elif os.path.exists(path):
-            os.unlink(path)
+            _replace(spark, before, first[0])
+        else:
+            drop(first[0])
         raise
     if had:
-        os.unlink(backup)
+        drop(before)
 
 
 def quarantine_names(decisions: DataFrame, taken: DataFrame) -> DataFrame:

@@ -236,7 +236,7 @@ def test_files(spark, tmp_path):
     files.write_jsonl(df, str(tmp_path / "out"))
     assert sorted(files.read_jsonl(spark, str(tmp_path / "out"), "n int, a string").collect()) == sorted(df.collect())
     target = tmp_path / "t.csv"
-    files.publish(str(target), files.csv_bytes(["1,2"], ("x", "y")))
+    files.publish(spark, str(target), files.csv_bytes(["1,2"], ("x", "y")))
     assert target.read_bytes() == b"\xef\xbb\xbfx,y\r\n1,2\r\n"
 
     def broken():
@@ -244,8 +244,16 @@ def test_files(spark, tmp_path):
         raise OSError
 
     with pytest.raises(OSError):
-        files.publish_pair((str(target), [b"new"]), (str(tmp_path / "u"), broken()))
+        files.publish_pair(spark, (str(target), [b"new"]), (str(tmp_path / "u"), broken()))
     assert target.read_bytes().endswith(b"1,2\r\n") and not (tmp_path / "u").exists()
+    assert sorted(p.name for p in tmp_path.glob("[tu]*") if not p.name.startswith(".")) == ["t.csv"]
+    files.publish_pair(spark, (str(target), [b"new"]), (str(tmp_path / "u"), [b"a", b"b"]))
+    assert target.read_bytes() == b"new" and (tmp_path / "u").read_bytes() == b"ab"
+    (tmp_path / "folder").mkdir()
+    (tmp_path / "folder/x").write_bytes(b"")
+    with pytest.raises(Exception):  # a folder can't be replaced by a file
+        files.publish_pair(spark, (str(target), [b"newer"]), (str(tmp_path / "folder"), [b"b"]))
+    assert target.read_bytes() == b"new"
     quoted = spark.createDataFrame([('a"b', "c,d")], "x string, y string")
     assert files.csv_lines(quoted).first().line == '"a""b","c,d"'
 
