@@ -174,13 +174,13 @@ def _decided(df: DataFrame, names: tuple[str, str, str, str], weights: tuple[flo
         goals = F.broadcast(goals)
     copies = decide(sizes, goals, block, seed, scratch)
     size, source_size, target, n = names
-    s, i, of = fresh(df, "s"), fresh(df, "i"), fresh(df, "of")
+    s, i, of, unit = (fresh(df, x) for x in ("s", "i", "of", "unit"))
     goals = goals.select(F.col("source").alias(s), F.col("source_size").alias(source_size), F.col("target").alias(target))
     copies = copies.select(F.col("source").alias(of), F.col("id").alias(i), F.col("copies").alias(n))
     return (
-        df.withColumn(size, word_count(F.col(text)))
+        df.withColumns({size: word_count(F.col(text)), unit: unit_of(F.col(doc_id), F.col(text))})
         .join(goals, F.col(source).eqNullSafe(F.col(s)), "left")
-        .join(copies, F.col(source).eqNullSafe(F.col(of)) & (unit_of(F.col(doc_id), F.col(text)) == F.col(i)), "left")
+        .join(copies, F.col(source).eqNullSafe(F.col(of)) & (F.col(unit) == F.col(i)), "left")
         .withColumn(n, F.when(F.col(size) > 0, F.coalesce(F.col(n), F.lit(0))).otherwise(F.lit(0)))
         .select(*df.columns, *names)
     )
