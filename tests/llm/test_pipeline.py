@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -34,6 +35,22 @@ def test_stages(spark, sf, tmp_path):
     assert sorted(whole) == sorted(step(4).select("doc_id", "shard", "slot").collect())
 
 
+def test_awkward_tables(spark, sf, tmp_path):
+    """Extra columns of clashing names go through; nulls, empty texts and repeated rows don't break a stage; empty tables give no rows."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    null = docs.limit(1).selectExpr("cast(null as bigint) doc_id", "cast(null as string) text", "lang", "cast(null as string) source", "n_chars")
+    odd = docs.unionByName(null).unionByName(null).unionByName(docs.limit(3)).withColumns({"shard": F.lit("mine"), "hash": F.lit(1), "score": F.lit("x"), "key": F.lit("k")})
+    for name, rows in (("odd", odd), ("empty", docs.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for table in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf}/{table}.parquet").limit(0 if name == "empty" else 10**6).write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    plain = corpus_pipeline.run(spark, sf).select("doc_id").distinct().count()
+    assert all((r.shard_input, r.hash, r.score, r.key) == ("mine", 1, "x", "k") for r in out)
+    assert len({r.doc_id for r in out}) == plain  # rows without an id have no words here, so the mix takes none of them
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
