@@ -8,9 +8,11 @@ so that a word put in or left out does not split a passage) are merged; and the
 span of each merged group is verified word by word against the template. Three
 phrases are found by the same join, where a diagonal needs all their words.
 
-The template positions are a constant of this module (a few hundred rows),
-which is what bounds the broadcast. Hits carry the words around them, so no
-text is read again or shuffled. Everything is a DataFrame expression.
+TEMPLATES is a small catalogue, a few hundred positions; ``templates`` may name
+any table (label, line) of whole license texts instead. Their positions are
+broadcast below MOST_BROADCAST rows, by count; beyond it the windows are
+shuffled to them. Hits carry the words around them, so no text is read again or
+shuffled. Everything is a DataFrame expression.
 
 Defined results: a null or empty text has no words and no labels; rows that
 repeat id and text get equal results; two texts with one id are told apart by a
@@ -26,6 +28,7 @@ from ..operators.durable import Durable
 
 K = 3
 DRIFT = 2
+MOST_BROADCAST = 200_000
 #: Share of a template's words that a span has to have in place.
 LEAST = 0.75
 
@@ -73,16 +76,23 @@ def _windows(words: Column) -> Column:
     return F.element_at(F.transform(F.array(words), lambda w: F.when(F.size(w) >= K, rolled(w)).otherwise(none)), 1)
 
 
-def template_positions(spark) -> DataFrame:
-    """(template, label, phrase, words, place, gram) of every window of every template."""
-    rows = [(i, label, True, text) for i, (label, text) in enumerate(PHRASES.items())]
-    rows += [(len(rows) + i, label, False, text) for i, (label, text) in enumerate(TEMPLATES)]
-    table = spark.createDataFrame(rows, "template int, label string, phrase boolean, line string")
-    table = table.withColumn("t_words", F.split("line", " "))
-    return table.select("template", "label", "phrase", "t_words", F.posexplode(_windows(F.col("t_words"))).alias("place", "gram"))
+def template_positions(spark, templates: DataFrame | None = None) -> DataFrame:
+    """(template, label, phrase, words, place, gram) of every window of the phrases and of every template, ready to be joined."""
+    constant = [(-1 - i, label, True, line) for i, (label, line) in enumerate(PHRASES.items())]
+    if templates is None:
+        constant += [(i, label, False, line) for i, (label, line) in enumerate(TEMPLATES)]
+    table = spark.createDataFrame(constant, "template long, label string, phrase boolean, line string")
+    if templates is not None:
+        table = table.unionByName(templates.select(F.xxhash64("label", "line").alias("template"), "label", F.lit(False).alias("phrase"), "line").distinct())
+    table = table.withColumn("t_words", words_of(F.col("line")))
+    placed = table.select("template", "label", "phrase", "t_words", F.posexplode(_windows(F.col("t_words"))).alias("place", "gram"))
+    if templates is None:
+        return F.broadcast(placed)
+    placed = Durable(spark).keep(placed)
+    return F.broadcast(placed) if placed.count() <= MOST_BROADCAST else placed
 
 
-def hits(texts: DataFrame) -> DataFrame:
+def hits(texts: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """(doc_id, hash, template, label, phrase, t_words, diagonal, place, around) of every shared window of rows (doc_id, hash, text).
 
     ``around`` holds the text's words that lie on the diagonal, DRIFT more on either side; ``lead`` tells how many are before it.
@@ -93,7 +103,7 @@ def hits(texts: DataFrame) -> DataFrame:
     diagonal = F.col("position") - F.col("place")
     begin = F.greatest(diagonal - DRIFT, F.lit(0))
     return (
-        placed.join(F.broadcast(template_positions(texts.sparkSession)), "gram")
+        placed.join(template_positions(texts.sparkSession, templates), "gram")
         .withColumn("diagonal", diagonal)
         .withColumn("lead", F.col("diagonal") - begin)
         .withColumn("around", F.slice("words", begin + 1, F.size("t_words") + F.col("lead") + DRIFT))
@@ -135,12 +145,12 @@ def passages(found: DataFrame) -> DataFrame:
     return exact.unionByName(close.select("doc_id", "hash", "label", F.lit(False).alias("phrase"), F.col("best.diagonal").alias("start"), "score"))
 
 
-def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id", templates: DataFrame | None = None) -> DataFrame:
     """One row per row of ``df``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     texts = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     of_phrase = lambda c: F.when(F.col("phrase"), c)
     # few rows, read by both kinds of passages
-    found = Durable(df.sparkSession).keep(hits(texts))
+    found = Durable(df.sparkSession).keep(hits(texts, templates))
     labelled = (
         passages(found)
         .groupBy("doc_id", "hash")

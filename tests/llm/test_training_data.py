@@ -381,6 +381,15 @@ def test_licenses_of_the_method(spark):
     assert ["gpl-3" in got[i] for i in range(5)] == [True, True, True, False, False]
 
 
+def test_licenses_of_a_table(spark, monkeypatch):
+    """A catalogue as a table, broadcast or not; its texts may be written in any way, and rows may repeat."""
+    own = spark.createDataFrame([("house", "The House Rules, as they stand: no running."), ("house", "The House Rules, as they stand: no running."), ("other", "nothing like it at all")], "label string, line string")
+    df = documents(spark, ["see THE house rules as they stand no running here", "under the MIT license", "released under the terms of gpl"])
+    for most in (10, 0):
+        monkeypatch.setattr(licenses, "MOST_BROADCAST", most)
+        assert {r.doc_id: r.labels for r in licenses.scan(df, templates=own).collect()} == {0: "house", 1: "mit", 2: ""}
+
+
 def test_licenses_of_a_very_long_text(spark):
     text = " ".join(f"w{i}" for i in range(500_000)) + " under the MIT license"
     r = licenses.scan(documents(spark, [text])).first()
