@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bands, corpus, evaluation, evidence, fields, grammar, layout, metadata, reconciliation, regions, relational, structure  # noqa: F401  declare their queries
+from . import bands, corpus, evaluation, evidence, fields, grammar, layout, metadata, reconciliation, regions, relational, semantics, structure  # noqa: F401  declare their queries
 from .base import QUERIES, Tables
 
 
