@@ -319,12 +319,13 @@ def _judged(docs: DataFrame, k: int, percent: int, bands: int) -> DataFrame:
     labels = components(_confirm(pairs, sets, percent), scratch)
     scratch.release()
     labelled = members.filter("members > 2").select("key", "id", "n").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "id"))
-    news = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
-    open_ = scratch.keep(labelled.join(news, "key", "left_semi"))
+    labelled = scratch.keep(labelled.withColumn("component", F.coalesce("component", "id")))
+    spread = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"))
+    news = scratch.keep(spread.filter("lo != hi").select("key", "members"))
+    open_ = scratch.keep(hot.join_counted(labelled, news, "key", "members").drop("members"))
     found = _tiled(open_, sets).groupBy("key", "i", "j").applyInArrow(_tile_function(percent), "u long, v long")
     labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(found), scratch)
-    scratch.drop(members, sets, open_)
+    scratch.drop(members, sets, labelled, news, open_)
     return (
         sig.select("doc_id", "hash", "n", "d1", "d2")
         .join(classes.drop("rep_hash"), ["d1", "d2", "n"], "left")
