@@ -131,11 +131,17 @@ def _tile_batches(coverage: float):
     return run
 
 
-def _pairs(seen: DataFrame, grams: DataFrame, seed: int, coverage: float) -> DataFrame:
-    """(doc_id, hash, item_id) of texts that may hold ``coverage`` of an item.
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, a table, to be broadcast if it has no more than MOST_BROADCAST narrow rows."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
+def _pairs(seen: DataFrame, grams: DataFrame, seed: int, coverage: float, scratch: Durable) -> DataFrame:
+    """(d, h, i) of texts that may hold ``coverage`` of an item.
 
     Marked words of that share take at least a third of their number (one in ``seed``) as places of seeds. Of those places
     at least half are outside the item's most frequent ones, half as many: a pair has to have that half among the others.
+    A text's seeds lie in one partition, so pairs are counted before they are shuffled.
     """
     frequency = seen.groupBy("gram").agg(F.count(F.lit(1)).alias("frequency"))
     item = Window.partitionBy("item_id")
@@ -145,9 +151,9 @@ def _pairs(seen: DataFrame, grams: DataFrame, seed: int, coverage: float) -> Dat
         {"rank": F.row_number().over(item.orderBy(F.coalesce("frequency", F.lit(0)), "place")), "places": F.count(F.lit(1)).over(item)}
     )
     rare = ranked.filter(F.col("frequency").isNotNull() & (F.col("rank") <= F.col("places") - left_out))
-    probes = rare.groupBy("gram", "item_id").agg(F.count(F.lit(1)).alias("places"), F.max(least - left_out).alias("least"))
-    met = seen.select("doc_id", "hash", "gram").distinct().join(probes, "gram").groupBy("doc_id", "hash", "item_id")
-    return met.agg(F.sum("places").alias("places"), F.max("least").alias("least")).filter("places >= least").select("doc_id", "hash", "item_id")
+    probes = scratch.keep(rare.groupBy("gram", "item_id").agg(F.count(F.lit(1)).alias("places"), F.max(least - left_out).alias("least")))
+    met = seen.join(_small(probes), "gram").groupBy("doc_id", "hash", "item_id").agg(F.sum("places").alias("places"), F.max("least").alias("least"))
+    return met.filter("places >= least").select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), F.col("item_id").alias("i"))
 
 
 def _runs(seeds: DataFrame) -> DataFrame:
@@ -173,12 +179,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: flo
     spans = {r.span: r.n for r in grams.groupBy("span").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``seed``
     bitmap = spark.sparkContext.broadcast(bitmaps.build(grams.select("gram"), sum(spans.values())))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
-    # rows that repeat id and text are one here
-    seen = scratch.keep(texts.mapInArrow(_text_batches(sorted(spans), bitmap), "doc_id long, hash long, gram long, position int").distinct())
+    seen = scratch.keep(texts.mapInArrow(_text_batches(sorted(spans), bitmap), "doc_id long, hash long, gram long, position int"))
     bitmap.unpersist()
-    pairs = _pairs(seen, grams, seed, coverage).withColumnsRenamed({"doc_id": "d", "hash": "h", "item_id": "i"})
+    pairs = scratch.keep(_pairs(seen, grams, seed, coverage, scratch))
     wanted = pairs.join(grams, F.col("i") == F.col("item_id")).withColumnRenamed("gram", "g")
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")) & (F.col("gram") == F.col("g"))
+    own = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))
+    same = own & (F.col("gram") == F.col("g"))
+    asked = scratch.keep(pairs.select("d", "h").distinct())
+    # rows that repeat id and text are one from here on
+    seen = seen.join(_small(asked), own, "left_semi").distinct()
     seeds = seen.join(wanted, same).select("doc_id", "hash", "item_id", "item_words", "span", "place", "position")
     gathered = (
         _runs(seeds)
