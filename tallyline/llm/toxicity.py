@@ -49,7 +49,7 @@ MOST_ROWS, MOST_BYTES = 2000, 1 << 15
 STEPS, BATCH = 240, 64
 NOISE, BIAS, DROPPED = 0.001, 0.0, 0.3
 START = np.float32(1e-4)
-SCORED_WORDS = 1 << 16
+SCORED_WORDS = 1 << 14
 PIECE_BYTES = 1 << 18
 
 # fixed values: frequent function words
