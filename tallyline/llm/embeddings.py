@@ -9,21 +9,26 @@ themselves, which travel for those pairs alone. Products of int8 values are
 whole numbers below 2**24 up to 1040 dimensions and are taken as float32 matrix
 products; longer vectors use float64.
 
-Which tiles meet: up to WHOLE rows all do, and nothing is missed. More rows
-would cost their square, and no bound on blocks helps there: vectors at the
-threshold are 0.45 apart, and most others only about 1.4. So this step is
-approximate for them: all rows are indexed in several tables of sign codes of fixed
-random hyperplanes. The number of bits follows from the row count so that a
-code holds about BUCKET rows, the number of tables from the chance that a pair
-exactly at the threshold agrees in a table, so that it is missed with
-probability at most MISS. A code's rows are split by hash into blocks of at
-most about TILE rows, and each pair of blocks is a tile. A pair that agrees in
-several tables counts in the first of them only: codes are taken of the int8
-values by planes of whole numbers, so a tile finds the other tables' codes of
-those vectors that have links in it, exactly and on the spot, and no row
-carries more than its own code. A tile gives one row per vector (its links there, and the smallest id of its component there), never a
+Which tiles meet: all of them, whatever the number of rows, so that no link is
+missed and a pair's link never depends on what else the table holds. This costs
+the square of the distinct vectors, and no bound on blocks helps there: vectors
+at the threshold are 0.45 apart, and most others only about 1.4. Rows are split
+by hash into blocks, and each pair of blocks is a tile, which is taken in strips
+of TILE by TILE rows. A strip's products that one comparison in single precision
+shows to be surely below the threshold go no further. A tile gives one row per
+vector (its links there, and the smallest id of its component there), never a
 row per pair, and exact copies of a vector are one class with a weight before
-they are indexed.
+they meet.
+
+Callers who accept missed links may ask for ``by_codes``; no size of a table
+does. Then all rows are indexed in several tables of sign codes of fixed random
+hyperplanes, and only rows that share a code meet. The number of bits follows
+from the row count so that a code holds about BUCKET rows, the number of tables
+from the chance that a pair exactly at the threshold agrees in a table, so that
+it is missed with probability at most MISS. A pair that agrees in several tables
+counts in the first of them only: codes are taken of the int8 values by planes of
+whole numbers, so a tile finds the other tables' codes of those vectors that have
+links in it, exactly and on the spot, and no row carries more than its own code.
 
 Defined results: null, empty and zero vectors and those with null or non-finite
 components link with nothing; vectors of different lengths link with nothing;
@@ -49,14 +54,13 @@ from .components import components
 BUCKET, TILE, MISS = 512, 1024, 0.005
 #: Radians that rounding to int8 may add to a pair's angle, as far as the number of tables goes.
 ROUNDING = 0.02
-WHOLE = 16_384
+#: Blocks of a place: of TILE rows each up to SPREAD blocks, then of more, up to WHOLE rows and BLOCK_BYTES of int8 values.
+SPREAD, WHOLE, BLOCK_BYTES = 16, 16_384, 1 << 23
 EXACT_DIMS = 1040
 
 
 def plan(rows: int, threshold: float) -> tuple[int, int]:
-    """Bits of a code and number of tables; none and one, so that all pairs meet, for at most WHOLE rows."""
-    if rows <= WHOLE:
-        return 0, 1
+    """Bits of a code and number of tables, where rows meet by codes."""
     bits = max(1, round(math.log2(max(2, rows / BUCKET))))
     agree = (1 - (math.acos(threshold) + ROUNDING) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(MISS) / math.log(1 - agree)))
@@ -148,24 +152,27 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def tile_links(ids, sides, q, scale, error, table: int, bits: int, threshold: float):
-    """Sure links and pairs to compute again, as index pairs (a < b), of one tile of a table.
+def strip_links(left, right, q, scale, error, table: int, bits: int, threshold: float):
+    """Sure links and pairs to compute again, as index pairs, of rows ``left`` and ``right`` of a tile of a table.
 
-    ``sides``: 0 and 1 for the two blocks of a tile, all 2 where a block meets itself.
+    Where both are the same rows, each pair comes once (a < b).
     """
     kind = np.float32 if q.shape[1] <= EXACT_DIMS else np.float64
-    own = len(sides) > 0 and sides[0] == 2
-    left = np.arange(len(ids)) if own else np.flatnonzero(sides == 0)
-    right = left if own else np.flatnonzero(sides == 1)
-    product = (q[left].astype(kind) @ q[right].astype(kind).T).astype(np.float64)
-    product *= scale[left][:, None] * scale[right][None]
-    slack = error[left][:, None] * (1 + 2 * error[right][None]) + error[right][None] * (1 + error[left][:, None]) + 1e-9
-    i, j = np.nonzero(product + slack >= threshold)
-    sure = (product - slack)[i, j] >= threshold
+    product = q[left].astype(kind) @ q[right].astype(kind).T
+    # the largest error on the right and 1e-6 for rounding only let more pairs through to the bounds of their own
+    most = error[right].max()
+    least = (threshold - error[left] * (1 + 2 * most) - most * (1 + error[left]) - 1e-6) / scale[left]
+    near = product * scale[right].astype(kind) >= least.astype(kind)[:, None]
+    rows = np.flatnonzero(near.any(1))
+    i, j = np.nonzero(near[rows])
+    i = rows[i]
     a, b = left[i], right[j]
-    if own:
-        once = a < b
-        a, b, sure = a[once], b[once], sure[once]
+    value = product[i, j].astype(np.float64) * (scale[a] * scale[b])
+    slack = error[a] * (1 + 2 * error[b]) + error[b] * (1 + error[a]) + 1e-9
+    keep = value + slack >= threshold
+    if np.array_equal(left, right):
+        keep &= a < b
+    a, b, sure = a[keep], b[keep], (value - slack >= threshold)[keep]
     if table and len(a):  # a pair counts in the first table that it agrees in
         own, at = np.unique(np.concatenate([a, b]), return_inverse=True)
         codes = codes_of(q[own], bits, table)
@@ -177,28 +184,34 @@ def tile_links(ids, sides, q, scale, error, table: int, bits: int, threshold: fl
     return a, b, sure
 
 
-def _tile_function(bits: int, threshold: float):
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        ids = group["id"].to_numpy()
-        sides = group["side"].to_numpy()
-        weight = group["weight"].to_numpy()
+def _tile_function(bits: int, threshold: float, strip: int):
+    def found(a: np.ndarray, b: np.ndarray, links: np.ndarray, sure: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(links), pa.array(np.full(len(a), sure))], names=["a", "b", "links", "sure"])
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches)
+        # by id, so that the smallest index of a component is its smallest id
+        group = group.take(pa.array(np.argsort(group["id"].to_numpy())))
+        ids, sides, weight = (group[c].to_numpy() for c in ("id", "side", "weight"))
+        scale, error = group["scale"].to_numpy(), group["error"].to_numpy()
         q = np.frombuffer(b"".join(group["q"].to_pylist()), np.int8).reshape(len(ids), -1)
-        a, b, sure = tile_links(ids, sides, q, group["scale"].to_numpy(), group["error"].to_numpy(), key[1].as_py(), bits, threshold)
-        links = np.bincount(a[sure], weight[b[sure]], len(ids)) + np.bincount(b[sure], weight[a[sure]], len(ids))
-        order = np.argsort(ids)
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(ids))
-        label = ids[order][local_components(len(ids), rank[a[sure]], rank[b[sure]])][rank]
+        # sides are 0 and 1 for the two blocks of a tile, all 2 where a block meets itself
+        own = len(sides) > 0 and sides[0] == 2
+        left = np.flatnonzero(sides != 1)
+        right = left if own else np.flatnonzero(sides == 1)
+        links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for x in range(0, len(left), strip):
+            for y in range(x if own else 0, len(right), strip):
+                a, b, sure = strip_links(left[x : x + strip], right[y : y + strip], q, scale, error, key[1].as_py(), bits, threshold)
+                if not sure.all():
+                    yield found(ids[a[~sure]], ids[b[~sure]], np.zeros((~sure).sum(), np.int64), False)
+                a, b = a[sure], b[sure]
+                if len(a):
+                    links += (np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))).astype(np.int64)
+                    known = np.flatnonzero(label != np.arange(len(ids)))
+                    label = local_components(len(ids), np.concatenate([a, known]), np.concatenate([b, label[known]]))
         have = np.flatnonzero(links > 0)
-        again = ~sure
-        return pa.table(
-            {
-                "a": np.concatenate([ids[have], ids[a[again]]]),
-                "b": np.concatenate([label[have], ids[b[again]]]),
-                "links": pa.array(np.concatenate([links[have].astype(np.int64), np.zeros(again.sum(), np.int64)])),
-                "sure": np.concatenate([np.ones(len(have), bool), np.zeros(again.sum(), bool)]),
-            }
-        )
+        yield found(ids[have], ids[label[have]], links[have], True)
 
     return run
 
@@ -222,8 +235,11 @@ def _exact_batches(threshold: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """One row per row of ``vectors``: vec_id, n_links, component_id, kept (it is the smallest id of its component)."""
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding", by_codes: bool = False) -> DataFrame:
+    """One row per row of ``vectors``: vec_id, n_links, component_id, kept (it is the smallest id of its component).
+
+    All pairs meet, unless ``by_codes`` asks for the approximate step.
+    """
     scratch = Durable(vectors.sparkSession)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
     named = rows.filter("vec_id is not null and embedding is not null")
@@ -231,15 +247,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
     keyed = named.select("vec_id", F.struct(*digest).alias("copy"), "embedding")
     # exact copies are one class, named by its smallest id
     classes = scratch.keep(keyed.groupBy("copy").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("weight"), F.min_by("embedding", "vec_id").alias("embedding")))
-    n = classes.count()
-    bits, tables = plan(n, threshold)
+    bits, tables = plan(classes.count(), threshold) if by_codes else (0, 1)
     fields = "vec_id long, dims int, codes array<long>, q binary, scale double, error double"
     index = classes.select("id", "embedding").mapInArrow(_index_batches(bits, tables), fields)
     index = scratch.keep(index.withColumnRenamed("vec_id", "id").join(classes.select("id", "weight"), "id"))
     placed = index.select("id", "weight", "dims", "q", "scale", "error", F.posexplode("codes").alias("table", "code"))
     placed = placed.withColumn("place", F.struct("dims", "table", "code"))
     sizes = scratch.keep(placed.groupBy("place").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    dealt = hot.join_counted(placed, sizes, "place").withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int"))
+    most = F.least(F.lit(WHOLE), F.greatest(F.lit(TILE), F.floor(F.lit(BLOCK_BYTES) / F.col("dims"))))
+    blocks = F.greatest(F.ceil(F.col("n") / most), F.least(F.lit(SPREAD), F.ceil(F.col("n") / TILE)))
+    dealt = hot.join_counted(placed, sizes, "place").withColumn("blocks", blocks.cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     tiled = (
         dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -248,7 +265,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
         .withColumn("side", F.when(F.col("i") == F.col("j"), 2).otherwise((F.col("block") == F.col("j")).cast("int")))
         .select("dims", "table", "code", "i", "j", "side", "id", "weight", "q", "scale", "error")
     )
-    found = scratch.keep(tiled.groupBy("dims", "table", "code", "i", "j").applyInArrow(_tile_function(bits, threshold), "a long, b long, links long, sure boolean"))
+    found = scratch.keep(tiled.groupBy("dims", "table", "code", "i", "j").applyInArrow(_tile_function(bits, threshold, TILE), "a long, b long, links long, sure boolean"))
     side = lambda c, w, v: classes.select(F.col("id").alias(c), F.col("weight").alias(w), F.col("embedding").alias(v))
     again = found.filter("not sure").select("a", "b").join(side("a", "wa", "va"), "a").join(side("b", "wb", "vb"), "b")
     exact = scratch.keep(again.select("a", "b", "wa", "wb", "va", "vb").mapInArrow(_exact_batches(threshold), "a long, b long, wa long, wb long"))

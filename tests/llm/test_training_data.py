@@ -624,6 +624,76 @@ def test_embeddings_in_tables(spark, monkeypatch):
     assert all(got[i] <= want[i] for i in range(len(x))) and sum(got.values()) >= 0.99 * want.sum() and want.sum() > 2000
 
 
+def embedding_pairs(n: int, dims: int, cosine: float) -> np.ndarray:
+    """n random vectors, then one for each at that cosine."""
+    rng = np.random.default_rng(4)
+    x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in rng.standard_normal((2, n, dims)))
+    y -= (x * y).sum(1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    return np.concatenate([x, cosine * x + (1 - cosine**2) ** 0.5 * y])
+
+
+def embedding_rows(spark, x: np.ndarray):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+def test_embeddings_whatever_the_size(spark, monkeypatch):
+    """A table of many blocks misses no pair either, and no pair's link depends on the other rows."""
+    monkeypatch.setattr(embeddings, "WHOLE", 100)
+    monkeypatch.setattr(embeddings, "TILE", 32)
+    x = embedding_pairs(1500, 48, 0.9005)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(embedding_rows(spark, x)).collect()}
+    assert got == {i: (1, i % 1500) for i in range(3000)}
+
+
+def test_embeddings_in_strips(spark, monkeypatch):
+    """Links and components of blocks of several strips, with a dense cluster, chains and vectors of other lengths."""
+    monkeypatch.setattr(embeddings, "TILE", 16)
+    monkeypatch.setattr(embeddings, "SPREAD", 3)
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(200, 12))
+    turn = np.arange(60) * 0.4  # neighbours are 0.4 apart, within acos 0.9, and chain up
+    ring = np.concatenate([np.cos(turn)[:, None], np.sin(turn)[:, None], np.zeros((60, 10))], 1) * rng.gamma(1, 1, (60, 1))
+    x = np.concatenate([base, np.repeat(base[:1], 80, 0) + rng.normal(0, 0.2, (80, 12)), ring])[rng.permutation(340)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, [1.0] * 5), (1001, [2.0] * 5)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    label = np.arange(len(x))
+    for _ in range(len(x)):
+        label = np.where(near, label[None], len(x)).min(1)
+    assert got == {i: (near[i].sum() - 1, label[i]) for i in range(len(x))} | {1000: (1, 1000), 1001: (1, 1000)}
+
+
+@pytest.mark.parametrize("dims", [3, 64, 1500])
+def test_embedding_strips_let_no_pair_out(dims):
+    """Every pair at the threshold is sure or computed again, and sure ones reach it, however uneven the errors are."""
+    rng = np.random.default_rng(dims)
+    x = rng.normal(size=(150, dims)) * rng.gamma(0.2, 1, (150, dims))
+    x = np.concatenate([x, x[:100] + rng.normal(0, 0.3, (100, dims)) * x[:100].std(1)[:, None]])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    cosine = x @ x.T
+    every = np.arange(len(x))
+    for left, right in ((every, every), (every[:90], every[90:])):
+        a, b, sure = embeddings.strip_links(left, right, *embeddings.quantise(x), 0, 0, 0.9)
+        found = {(i, j) for i, j in zip(a.tolist(), b.tolist())}
+        want = {(i, j) for i in left.tolist() for j in right.tolist() if cosine[i, j] >= 0.9 and (i < j or left is not right)}
+        assert want and want <= found and len(found) == len(a) and (cosine[a, b][sure] >= 0.9).all()
+
+
+def test_embeddings_by_codes(spark, monkeypatch):
+    """The step that callers may ask for counts each link once, whatever the number of tables that find it, and may miss some."""
+    monkeypatch.setattr(embeddings, "BUCKET", 40)
+    monkeypatch.setattr(embeddings, "TILE", 32)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 24))
+    x = np.concatenate([x, x[:150] + rng.normal(0, 0.2, (150, 24)), np.repeat(x[:1], 90, 0) + rng.normal(0, 0.22, (90, 24))])
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(embedding_rows(spark, x), by_codes=True).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    assert all(got[i] <= want[i] for i in range(len(x))) and sum(got.values()) >= 0.99 * want.sum() and want.sum() > 2000
+
+
 def test_codes_do_not_depend_on_the_number_of_tables():
     q = np.random.default_rng(1).integers(-127, 128, (50, 20)).astype(np.int8)
     assert (embeddings.codes_of(q, 6, 9)[:, :4] == embeddings.codes_of(q[:], 6, 4)).all()
