@@ -40,29 +40,32 @@ def merged_headers(cells: DataFrame, page: Sequence[str]) -> DataFrame:
     """
     role = headers.role(headers.role_scores(F.col("text")))
     shaped = dates.isolated_date_token(F.col("text")).isNotNull() | money.is_money_shaped(money.parse_amount(F.col("text")))
-    known = cells.withColumn("__role", F.when(role != "UNKNOWN", role)).withColumn("__shaped", shaped)
-    lines = known.groupBy(*page, "line").agg(
-        F.count_distinct("__role").alias("roles"), F.bool_or("__shaped").alias("shaped"), F.min("box.y0").alias("top"), F.max("box.y1").alias("bottom"), F.median(g.height(F.col("box"))).alias("height")
-    )
+    word = F.struct(g.center_x(F.col("box")).alias("center"), "cell", "text")
+    known = cells.dropna(subset=[*page, "line"]).select(*page, "line", "box", word.alias("word"), role.alias("role"), shaped.alias("shaped"))
+    # a page meets once: its lines carry their words, so nothing is joined to them again
+    lines = known.repartition(*page).groupBy(*page, "line").agg(
+        F.array_sort(F.collect_list("word")).alias("words"), F.size(F.array_remove(F.collect_set("role"), "UNKNOWN")).alias("roles"), F.bool_or("shaped").alias("shaped"),
+        F.min("box.y0").alias("top"), F.max("box.y1").alias("bottom"), F.median(g.height(F.col("box"))).alias("height"),
+    )
     order = Window.partitionBy(*page).orderBy("top", "line")
     is_header = F.col("roles") >= 2
     placed = lines.withColumn("at", F.row_number().over(order)).withColumn("gap", F.col("top") - F.lag("bottom").over(order))
     last = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = placed.withColumn("head", F.last(F.when(is_header, F.struct("line", "at", "height")), True).over(last))
+    placed = placed.withColumn("head", F.last(F.when(is_header, F.struct("line", "at", "height", "words")), True).over(last)).filter("head is not null")
     near = ~is_header & ~F.col("shaped") & (F.col("gap") <= F.col("head.height")) & (F.col("at") - F.col("head.at") <= MOST_FRAGMENTS)
     # each line between the header and this one goes on with it too
     run = Window.partitionBy(*page, "head.line").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = placed.filter("head is not null").withColumn("ok", F.min((is_header | near).cast("int")).over(run)).filter("ok = 1").select(*page, "line", F.col("head.line").alias("header"))
-    belongs = cells.join(parts, [*page, "line"]).withColumn("center", g.center_x(F.col("box")))
-    top = belongs.filter("line = header")
-    w = Window.partitionBy(*page, "header").orderBy("center", "cell")
-    stretch = top.select(
-        *page, "header", F.col("cell").alias("__cell"),
-        F.coalesce((F.lag("center").over(w) + F.col("center")) / 2, F.lit(float("-inf"))).alias("low"), F.coalesce((F.col("center") + F.lead("center").over(w)) / 2, F.lit(float("inf"))).alias("high"),
-    )
-    owned = belongs.join(stretch, [*page, "header"]).filter("low <= center and center < high")
-    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "center", "text"))), lambda x: x["text"]), " ")
-    return owned.groupBy(*page, F.col("header").alias("line"), F.col("__cell").alias("cell")).agg(words.alias("text"), (F.count_distinct("line") - 1).alias("n_fragments"))
+    parts = placed.withColumn("ok", F.min((is_header | near).cast("int")).over(run)).filter("ok = 1")
+    middle = lambda i, j: (F.get("head.words", i)["center"] + F.get("head.words", j)["center"]) / 2
+    stretches = F.transform(
+        "head.words",
+        lambda w, i: F.named_struct(F.lit("cell"), w["cell"], F.lit("low"), F.coalesce(middle(i - 1, i), F.lit(float("-inf"))), F.lit("high"), F.coalesce(middle(i, i + 1), F.lit(float("inf")))),
+    )
+    belongs = parts.select(*page, "line", F.col("head.line").alias("header"), F.explode("words").alias("word"), stretches.alias("stretches"))
+    own = F.get(F.filter("stretches", lambda s: (s["low"] <= F.col("word.center")) & (F.col("word.center") < s["high"])), F.lit(0))
+    owned = belongs.select(*page, "header", "line", "word", own.alias("own")).filter("own is not null")
+    merged = owned.groupBy(*page, F.col("header").alias("line"), F.col("own.cell").alias("cell")).agg(F.array_sort(F.collect_list(F.struct("line", "word.center", "word.text"))).alias("words"))
+    return merged.select(*page, "line", "cell", F.array_join(F.transform("words", lambda x: x["text"]), " ").alias("text"), (F.size(F.array_distinct(F.transform("words", lambda x: x["line"]))) - 1).alias("n_fragments"))
 
 
 def separated_markers(cells: DataFrame, table: Sequence[str], row: str, role: str = "DATE") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import bands as b
-from .base import Tables, query
+from .base import Tables, query, spread
 from .structure import listed, picked
 
 HEIGHT = 10
@@ -34,7 +34,7 @@ def merged_headers(t: Tables) -> DataFrame:
             word(form == 0, _cell(F.lit("not this"), 60, 45)), word(form == 2, _cell(F.lit("far away"), 60, 60)), word(form == 3, _cell(F.lit("12/05/2024"), 0, 15)), word(form == 3, _cell(F.lit("shop"), 60, 15)),
         )
     )
-    found = t.orders.select(F.col("o_orderkey").alias("page"), F.explode(cells).alias("c")).select("page", "c.*")
+    found = spread(t.orders.select("o_orderkey")).select(F.col("o_orderkey").alias("page"), F.explode(cells).alias("c")).select("page", "c.*")
     return b.merged_headers(found, ["page"]).select("page", "cell", "text", F.col("n_fragments").cast("int").alias("n_fragments"))
 
 
