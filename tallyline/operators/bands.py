@@ -147,7 +147,7 @@ def continuation_kinds(rows: DataFrame, table: Sequence[str], order: Sequence[st
     w = Window.partitionBy(*table).orderBy(*order)
     kinds = rows.withColumn("kind", let(line, chain)).withColumn("ordinal", F.row_number().over(w))
     above = owners(kinds, table, ["ordinal"], F.col("kind") == "primary", F.col("ordinal"), "owner")
-    below = F.first(F.when(F.col("kind") == "primary", F.col("ordinal")), True).over(Window.partitionBy(*table).orderBy("ordinal").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    below = F.last(F.when(F.col("kind") == "primary", F.col("ordinal")), True).over(Window.partitionBy(*table).orderBy(F.desc("ordinal")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     leading = above.withColumn("__below", below)
     details = F.col("kind").isin("marked_detail", "foreign_conversion_block", "hebrew_note", "card_identifier_block")
     kind = F.when(F.col("owner").isNull() & details & F.col("__below").isNotNull(), "leading_detail").when(F.col("owner").isNull(), F.lit(None)).otherwise(F.col("kind"))

@@ -37,9 +37,10 @@ def nearest_value(items: DataFrame, owners: DataFrame, on: Sequence[str], item_i
     own = owners.groupBy(*on, value).agg(F.min(owner_id).alias("__own"))
     both = items.select(*on, F.col(value).alias("__v"), F.col(item_id).alias("__item"), F.lit(None).cast(own.schema["__own"].dataType).alias("__own"))
     both = both.unionByName(own.select(*on, F.col(value).alias("__v"), F.lit(None).cast(items.schema[item_id].dataType).alias("__item"), "__own"))
-    w = Window.partitionBy(*on).orderBy("__v", F.col("__own").isNull())
+    # the way back is its own order: a frame that ends at the last row is summed anew for each row
+    up, down = (Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) for order in (("__v", F.col("__own").isNull()), (F.desc("__v"), F.col("__own").isNull().desc())))
     found = F.when(F.col("__own").isNotNull(), F.struct("__v", "__own"))
-    sides = both.withColumn("__low", F.last(found, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__high", F.first(found, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    sides = both.withColumn("__low", F.last(found, True).over(up)).withColumn("__high", F.last(found, True).over(down))
     off = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col(f"{side}.__v") - F.col("__v")).alias("off"), F.col(f"{side}.__own").alias("own")))
     near = sides.filter(F.col("__own").isNull()).withColumn("__near", F.least(off("__low"), off("__high"))).filter("__near is not null")
     return near.select(*on, F.col("__item").alias(item_id), F.col("__near.own").alias(owner_id))

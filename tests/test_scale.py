@@ -11,3 +11,8 @@ def test_merged_headers_scores_a_cell_once(spark, sf):
     plan = optimized(spark, sf, "merged_headers")
     assert "Join" not in plan
     assert plan.count("billed amount") <= 2
+
+
+def test_no_frame_is_summed_anew_for_each_row(spark, sf):
+    for name in ("nearest_owner", "continuation_kinds"):
+        assert "unboundedfollowing" not in optimized(spark, sf, name).lower()
