@@ -39,7 +39,7 @@ def merged_headers(cells: DataFrame, page: Sequence[str]) -> DataFrame:
     stretch between the middles of neighbouring cells holds its centre.
     """
     role = headers.role(headers.role_scores(F.col("text")))
-    shaped = dates.isolated_date_token(F.col("text")).isNotNull() | money.is_money_shaped(money.parse_amount(F.col("text")))
+    shaped = dates.isolated_date_token(F.col("text")).isNotNull() | money.money_shaped(F.col("text"))
     word = F.struct(g.center_x(F.col("box")).alias("center"), "cell", "text")
     known = cells.dropna(subset=[*page, "line"]).select(*page, "line", "box", word.alias("word"), role.alias("role"), shaped.alias("shaped"))
     # a page meets once: its lines carry their words, so nothing is joined to them again
