@@ -67,7 +67,7 @@ def shape_counts(cells: Column) -> Column:
     count = lambda test: F.size(F.filter(cells, test))
     return F.struct(
         count(lambda c: dates.isolated_date_token(c).isNotNull()).alias("dates"),
-        count(lambda c: money.is_money_shaped(money.parse_amount(c))).alias("amounts"),
+        count(money.money_shaped).alias("amounts"),
         count(dates.is_installment).alias("installments"),
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..operators import structure as s
-from .base import Tables, query
+from .base import Tables, query, spread
 from .relational import BOXES, _boxes
 
 
@@ -68,7 +68,7 @@ def shape_counts(t: Tables) -> DataFrame:
         F.when(k % 4 > 0, F.concat(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(" $"))).otherwise("amount"),
         F.when(k % 5 == 0, "31 / 36").otherwise("3 of 12"),
     )
-    return t.orders.select("o_orderkey", s.shape_counts(cells).alias("c")).select("o_orderkey", *(F.col(f"c.{n}").alias(n) for n in ("dates", "amounts", "installments")))
+    return spread(t.orders.select("o_orderkey", "o_orderdate", "o_totalprice")).select("o_orderkey", s.shape_counts(cells).alias("c")).select("o_orderkey", *(F.col(f"c.{n}").alias(n) for n in ("dates", "amounts", "installments")))
 
 
 @query("""
