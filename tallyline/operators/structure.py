@@ -128,7 +128,7 @@ def set_relation(a: Column, b: Column) -> Column:
 
 def signature(reading: Column) -> Column:
     """The multiset of a text's characters without white space: equal for readings that differ in order alone."""
-    return F.array_join(F.array_sort(F.split(F.regexp_replace(reading, r"(?U)\s", ""), "", -1)), "")
+    return F.array_join(F.sort_array(F.split(F.regexp_replace(reading, r"(?U)\s", ""), "", -1)), "")
 
 
 def category_counts(rows: DataFrame, categories: str, by: Sequence[str] = ()) -> DataFrame:

@@ -31,3 +31,9 @@ def test_short_paths_say_what_the_grammar_says(spark):
     rows = df.select(t, money.parse_amount(t).alias("a"), money.parse_amount(long).alias("b"), money.money_shaped(t).alias("c"), money.is_money_shaped(money.parse_amount(long)).alias("d"), headers.role_scores(t).alias("e"), headers.role_scores(long).alias("f")).collect()
     assert [r for r in rows if r.a != r.b or r.c != r.d or r.e != r.f] == []
     assert [r.t for r in rows if r.t.lower() in terms and not r.e] == []
+
+
+def test_characters_and_words_are_sorted_without_a_comparator(spark, sf):
+    for name in ("reading_signatures", "layout_rows"):
+        plan = optimized(spark, sf, name)
+        assert "sort_array(" in plan and "array_sort(" not in plan
